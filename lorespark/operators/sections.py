@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorespark.functions.text import let
 
@@ -112,7 +113,7 @@ def _glue(pieces: list[str], size: int, overlap: int) -> list[str]:
     return [chunk for chunk in chunks if chunk]
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def split_bodies(bodies: pd.Series, sizes: pd.Series) -> pd.Series:
     """Pieces of the long bodies of each document; short bodies arrive as null and stay null."""
     def one(texts, limits):

@@ -1,2 +1,391 @@
+"""Registered queries of the text and retrieval operators over the warehouse texts, with their SQL twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lorespark.functions.text import name_key_column, section_tokens_column, tokens_column
+from lorespark.operators import fidelity, fusion, lexical, mentions, ranking, sections, vectors
+from lorespark.operators.evaluation import first_hit_rank, recall_and_mrr
+from lorespark.session import table
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLE[name] = sql
+        return function
+    return register
+
+
+def key_sql(expression: str) -> str:
+    """SQL twin of the name key."""
+    return f"trim(regexp_replace(replace(strip_accents(lower({expression})), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+TOKEN_SQL = "[0-9A-Za-zÀ-ÖØ-öø-ÿŒœÆæÉéÈèÊêËëÇç''-]+"
+STOPWORDS_SQL = ("['a','à','au','aux','avec','ce','ces','cette','dans','de','des','du','elle','en','et','il','la','le','les','leur',"
+                 "'leurs','lui','par','pour','que','quel','quelle','quelles','quels','qui','sa','ses','son','sur','un','une']")
+
+
+def documents(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+@query("normalize_keys", f"""
+SELECT doc_id, md5({key_sql('text')}) AS key_hash, length({key_sql('text')}) AS key_length FROM documents""")
+def normalize_keys(spark, sf):
+    key = documents(spark, sf).select("doc_id", name_key_column(F.col("text")).alias("key"))
+    return key.select("doc_id", F.md5("key").alias("key_hash"), F.length("key").cast("long").alias("key_length"))
+
+
+@query("normalize_part_names", f"SELECT {key_sql('p_name')} AS name_key, count(*) AS n FROM part GROUP BY 1")
+def normalize_part_names(spark, sf):
+    return table(spark, sf, "part").groupBy(name_key_column(F.col("p_name")).alias("name_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ALIASES_SQL = f"""aliases AS (SELECT {key_sql("split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)")} AS alias_key, min(item_id) AS target
+    FROM benchmark GROUP BY 1
+    UNION ALL SELECT {key_sql("split_part(text, ' ', 1)")} || '', min(item_id) FROM benchmark GROUP BY 1)"""
+
+
+def _aliases(spark, sf) -> DataFrame:
+    """First word and first two words of each benchmark text, as names of its item."""
+    items = table(spark, sf, "benchmark").select("item_id", F.split("text", " ", -1).alias("words"))
+    one, two = F.get("words", F.lit(0)), F.concat(F.get("words", F.lit(0)), F.lit(" "), F.coalesce(F.get("words", F.lit(1)), F.lit("")))
+    both = items.select("item_id", name_key_column(two).alias("alias_key")).groupBy("alias_key").agg(F.min("item_id").alias("target"))
+    single = items.select("item_id", name_key_column(one).alias("alias_key")).groupBy("alias_key").agg(F.min("item_id").alias("target"))
+    return both.unionByName(single)
+
+
+@query("mention_lookup_unique", f"""
+WITH {_ALIASES_SQL}, t AS (SELECT conv_id * 1000 + turn AS text_id, '-' || {key_sql('text')} || '-' AS k FROM conversations),
+m AS (SELECT DISTINCT text_id, target, alias_key FROM t JOIN aliases ON contains(k, '-' || alias_key || '-'))
+SELECT text_id, min(target) AS target FROM m GROUP BY text_id HAVING count(*) = 1""")
+def mention_lookup_unique(spark, sf):
+    texts = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
+    return mentions.unique_mention(mentions.mentions(texts, "text_id", "text", _aliases(spark, sf), 2), "text_id")
+
+
+@query("longest_mention", f"""
+WITH {_ALIASES_SQL}, w AS (SELECT doc_id, string_split({key_sql('text')}, '-') AS words FROM documents),
+s AS (SELECT doc_id, i - 1 AS start, 1 AS size, words[i] AS alias_key FROM w, unnest(range(1, len(words) + 1)) u(i)
+    UNION ALL SELECT doc_id, i - 1, 2, words[i] || '-' || words[i + 1] FROM w, unnest(range(1, len(words))) u(i)),
+m AS (SELECT DISTINCT s.doc_id, s.start, s.size, a.target FROM s JOIN (SELECT DISTINCT alias_key, target FROM aliases) a USING (alias_key))
+SELECT doc_id, target, count(*) AS mentions, CAST(sum(size) AS BIGINT) AS words FROM m
+WHERE NOT (size = 1 AND EXISTS (SELECT 1 FROM m l WHERE l.doc_id = m.doc_id AND l.size = 2 AND l.start IN (m.start, m.start - 1)))
+GROUP BY doc_id, target""")
+def longest_mention(spark, sf):
+    found = mentions.mentions(documents(spark, sf).select("doc_id", "text"), "doc_id", "text", _aliases(spark, sf), 2)
+    kept = mentions.longest_mentions(found, "doc_id").select("doc_id", "start", "size", "target").distinct()
+    return kept.groupBy("doc_id", "target").agg(F.count(F.lit(1)).alias("mentions"), F.sum("size").alias("words"))
+
+
+# ---- sections and chunks -----------------------------------------------------
+
+
+def _markdown(spark, sf) -> DataFrame:
+    """Documents with headings: every fourth line opens a section, every other even line a subsection."""
+    lines = F.filter(F.split("text", "\n", -1), lambda line: F.trim(line) != "")
+    return documents(spark, sf).select("doc_id", "lang", F.array_join(F.transform(lines, lambda line, i: F.when(
+        i % 4 == 0, F.concat(F.lit("## S"), i, F.lit("\n"), line)).when(
+        i % 4 == 2, F.concat(F.lit("### T"), i, F.lit("\n"), line)).otherwise(line)), "\n").alias("text"))
+
+
+_LINES_SQL = """w AS (SELECT doc_id, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+lines AS (SELECT doc_id, lang, i - 1 AS i, l[i] AS line FROM w, unnest(range(1, len(l) + 1)) u(i)),
+sec AS (SELECT doc_id, lang, i - i % 2 AS first_line, string_agg(rtrim(line), chr(10) ORDER BY i) AS body FROM lines GROUP BY ALL),
+paths AS (SELECT doc_id, lang, first_line, trim(body) AS body, CASE WHEN first_line % 4 = 0 THEN 'S' || first_line
+    ELSE 'S' || (first_line - 2) || ' > T' || first_line END AS path FROM sec)"""
+
+
+@query("markdown_section_paths", f"""WITH {_LINES_SQL} SELECT doc_id, path AS section_path, md5(body) AS body_hash FROM paths""")
+def markdown_section_paths(spark, sf):
+    rows = _markdown(spark, sf).select("doc_id", F.explode(sections.markdown_sections(F.col("text"))).alias("s"))
+    return rows.select("doc_id", F.array_join("s.path", " > ").alias("section_path"), F.md5("s.body").alias("body_hash"))
+
+
+def _chunks(spark, sf) -> DataFrame:
+    source = _markdown(spark, sf).withColumn("source_file", F.format_string("%04d_doc.md", "doc_id")).withColumn(
+        "title", F.concat(F.lit("doc "), "doc_id"))
+    return sections.chunk_documents(source, source_file="source_file", title="title", text="text", keep=("doc_id", "lang"))
+
+
+@query("section_chunks")
+def section_chunks(spark, sf):
+    return _chunks(spark, sf).select(
+        "chunk_id", "doc_id", "chunk_number", "section_chunk_number", "section_path", "section_depth", F.md5("text").alias("text_hash"))
+
+
+@query("section_chunk_ids", f"""WITH {_LINES_SQL} SELECT doc_id, path AS section_path, length(body) AS body_chars,
+    'pokemon::' || lpad(CAST(doc_id AS VARCHAR), 4, '0') || '_doc.md::section::' || substr(sha1(path), 1, 10) || '::chunk::00000' AS chunk_id
+FROM paths WHERE first_line = 0""")
+def section_chunk_ids(spark, sf):
+    rows = _chunks(spark, sf).filter("chunk_number = 0").select("doc_id", "section_path", "chunk_id")
+    bodies = _markdown(spark, sf).select("doc_id", F.get(sections.markdown_sections(F.col("text")), F.lit(0)).alias("s"))
+    lengths = bodies.filter("s IS NOT NULL").select("doc_id", F.length("s.body").cast("long").alias("body_chars"))
+    return rows.join(lengths, "doc_id").select("doc_id", "section_path", "body_chars", "chunk_id")
+
+
+@query("chunk_conservation", f"""WITH {_LINES_SQL} SELECT count(DISTINCT (doc_id, path)) AS sections, true AS unique_ids, true AS numbers_consecutive,
+    true AS sizes_bounded FROM paths""")
+def chunk_conservation(spark, sf):
+    rows = _chunks(spark, sf)
+    per_document = rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("chunk_number").alias("last"), F.countDistinct("section_path").alias("sections"),
+        F.max(F.length("text")).alias("longest"), F.countDistinct("chunk_id").alias("ids"))
+    return per_document.agg(
+        F.sum("sections").alias("sections"), (F.sum("ids") == F.sum("n")).alias("unique_ids"),
+        F.bool_and(F.col("last") + 1 == F.col("n")).alias("numbers_consecutive"), (F.max("longest") <= 900).alias("sizes_bounded"))
+
+
+@query("expand_window", """
+WITH w AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), s AS (SELECT doc_id, len(l) AS n, l, len(l) // 2 AS seed FROM w),
+b AS (SELECT *, least(n, greatest(0, seed - 4) + 8) AS e FROM s)
+SELECT doc_id, CAST(i AS BIGINT) AS line_number, md5(l[i + 1]) AS line_hash, i <> seed AS is_expansion
+FROM b, unnest(range(greatest(0, e - 8), e)) u(i)""")
+def expand_window(spark, sf):
+    lines = documents(spark, sf).select("doc_id", F.split("text", "\n", -1).alias("l"))
+    rows = lines.select("doc_id", F.posexplode("l").alias("line_number", "line")).withColumn("chunk", F.col("line_number"))
+    seeds = lines.select("doc_id", F.floor(F.size("l") / 2).cast("int").alias("line_number")).withColumn("expanded_from", F.col("line_number"))
+    found = sections.expand_sections(seeds, rows.select("doc_id", "line_number", "chunk"), ["doc_id"], "line_number", "chunk")
+    return found.join(rows.select("doc_id", "line_number", "line"), ["doc_id", "line_number"]).select(
+        "doc_id", F.col("line_number").cast("long").alias("line_number"), F.md5("line").alias("line_hash"),
+        F.col("is_section_expansion").alias("is_expansion"))
+
+
+# ---- lexical and vector retrieval --------------------------------------------
+
+_BM25_SQL = f"""
+tok AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '{TOKEN_SQL}') AS t FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL),
+dl AS (SELECT doc_id, lang, len(t) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, st),
+idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS term FROM benchmark),
+qt AS (SELECT item_id, term, count(*) AS qtf FROM q GROUP BY ALL),
+part AS (SELECT item_id, tf.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
+    FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
+score AS (SELECT b.item_id, dl.doc_id, dl.lang, round(coalesce(s, 0), 6) AS score FROM benchmark b CROSS JOIN dl
+    LEFT JOIN part ON part.item_id = b.item_id AND part.doc_id = dl.doc_id)"""
+
+
+@query("bm25_topk", f"""WITH {_BM25_SQL}
+SELECT item_id, doc_id, score, bm25_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS bm25_rank FROM score) WHERE bm25_rank <= 200""")
+def bm25_topk(spark, sf):
+    index = lexical.lexical_index(documents(spark, sf), "doc_id", "text")
+    found = lexical.bm25_topk(index, table(spark, sf, "benchmark"), query_id="item_id", text="text")
+    return found.select(F.col("query_id").alias("item_id"), "doc_id", "score", F.col("bm25_rank").cast("long").alias("bm25_rank"))
+
+
+@query("bm25_scoped_topk", f"""WITH {_BM25_SQL}, sc AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'de' ELSE 'es' END AS scope FROM benchmark)
+SELECT item_id, doc_id, score, bm25_rank FROM (
+    SELECT score.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS bm25_rank
+    FROM score JOIN sc USING (item_id) WHERE lang = scope) WHERE bm25_rank <= 200""")
+def bm25_scoped_topk(spark, sf):
+    index = lexical.lexical_index(documents(spark, sf), "doc_id", "text", "lang")
+    code = F.col("item_id") % 3
+    questions = table(spark, sf, "benchmark").withColumn("scope", F.when(code == 0, "fr").when(code == 1, "de").otherwise("es"))
+    found = lexical.bm25_topk(index, questions, query_id="item_id", text="text", scope="scope")
+    return found.select(F.col("query_id").alias("item_id"), "doc_id", "score", F.col("bm25_rank").cast("long").alias("bm25_rank"))
+
+
+@query("term_statistics", f"""
+WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN_SQL}') AS t FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL),
+st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok)
+SELECT term, count(*) AS df, round(ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5), 6) AS idf, round(any_value(avgdl), 6) AS mean_length
+FROM tf, st GROUP BY term""")
+def term_statistics(spark, sf):
+    rows = lexical.term_statistics(lexical.lexical_index(documents(spark, sf), "doc_id", "text"))
+    return rows.select("term", "df", F.round("raw_idf", 6).alias("idf"), F.round("mean_length", 6).alias("mean_length"))
+
+
+_VECTOR_SQL = """
+c AS (SELECT label, list(m ORDER BY p) AS v FROM (
+    SELECT label, p, avg(CAST(embedding[p] AS DOUBLE)) AS m FROM embeddings, unnest(range(1, 65)) u(p) GROUP BY ALL) GROUP BY label),
+d AS (SELECT c.label AS query_id, vec_id AS doc_id, e.label AS own,
+    round(1 - list_dot_product(CAST(embedding AS DOUBLE[]), v) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(v, v)), 6) AS score
+    FROM c, embeddings e)"""
+
+
+def _embedding_corpus(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("scope"))
+
+
+def _centroid_queries(spark, sf) -> DataFrame:
+    found = vectors.centroids(table(spark, sf, "embeddings"), "label", "embedding")
+    return found.select(F.col("label").alias("query_id"), "vector", F.col("label").cast("string").alias("scope"))
+
+
+@query("vector_topk", f"""WITH {_VECTOR_SQL}
+SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, score AS distance, vector_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS vector_rank FROM d) WHERE vector_rank <= 100""")
+def vector_topk(spark, sf):
+    found = vectors.nearest(_embedding_corpus(spark, sf), _centroid_queries(spark, sf))
+    return found.select("query_id", "doc_id", F.col("score").alias("distance"), F.col("vector_rank").cast("long").alias("vector_rank"))
+
+
+@query("vector_scoped_topk", f"""WITH {_VECTOR_SQL}
+SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, score AS distance, vector_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS vector_rank FROM d WHERE own = query_id) WHERE vector_rank <= 20""")
+def vector_scoped_topk(spark, sf):
+    found = vectors.nearest(_embedding_corpus(spark, sf), _centroid_queries(spark, sf), k=20, scope=True)
+    return found.select("query_id", "doc_id", F.col("score").alias("distance"), F.col("vector_rank").cast("long").alias("vector_rank"))
+
+
+@query("rrf_fusion", f"""WITH {_BM25_SQL}, bm AS (
+    SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM score),
+{_VECTOR_SQL.strip()}, vx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS r FROM d),
+f AS (SELECT coalesce(v.query_id, b.item_id) AS query_id, coalesce(v.doc_id, b.doc_id) AS doc_id, v.r AS vr, b.r AS br,
+    coalesce(1.0::DOUBLE / (60 + v.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0) AS s
+    FROM (SELECT * FROM vx WHERE r <= 100) v FULL JOIN (SELECT * FROM bm WHERE r <= 200 AND item_id IN (SELECT query_id FROM c_ids)) b
+    ON b.item_id = v.query_id AND b.doc_id = v.doc_id)
+SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, vr AS vector_rank, br AS bm25_rank, round(s, 9) AS rrf_score, rrf_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vr NULLS LAST, br NULLS LAST) AS rrf_rank FROM f) WHERE rrf_rank <= 30""".replace(
+        "WITH ", "WITH c_ids AS (SELECT DISTINCT label AS query_id FROM embeddings), ", 1))
+def rrf_fusion(spark, sf):
+    """Centroid queries and the benchmark texts of the same number, fused over document numbers."""
+    semantic = vectors.nearest(_embedding_corpus(spark, sf), _centroid_queries(spark, sf))
+    asked = table(spark, sf, "embeddings").select(F.col("label").alias("item_id")).distinct()
+    index = lexical.lexical_index(documents(spark, sf), "doc_id", "text")
+    texts = table(spark, sf, "benchmark").join(asked, "item_id", "left_semi")
+    words = lexical.bm25_topk(index, texts, query_id="item_id", text="text")
+    fused = fusion.reciprocal_rank_fusion(semantic, words)
+    return fused.select(
+        "query_id", "doc_id", F.col("vector_rank").cast("long").alias("vector_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"),
+        F.round("rrf_score", 9).alias("rrf_score"), F.col("rrf_rank").cast("long").alias("rrf_rank"))
+
+
+@query("recall_mrr", f"""WITH {_BM25_SQL}, r AS (
+    SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM score),
+cases AS (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+h AS (SELECT item_id, min(r) FILTER (r <= 200) AS hit FROM cases LEFT JOIN r USING (item_id, doc_id) GROUP BY item_id)
+SELECT count(*) AS cases, round(avg(CASE WHEN hit <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN hit <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_3,
+    round(avg(CASE WHEN hit <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5, round(avg(coalesce(1.0 / hit, 0)), 6) AS mrr FROM h""")
+def recall_mrr(spark, sf):
+    """Benchmark texts held verbatim by documents are the graded cases of the lexical ranking."""
+    texts, items = documents(spark, sf), table(spark, sf, "benchmark")
+    index = lexical.lexical_index(texts, "doc_id", "text")
+    ranked = lexical.bm25_topk(index, items, query_id="item_id", text="text")
+    holders = _holders(texts, items)
+    hits = holders.join(ranked.select(F.col("query_id").alias("item_id"), "doc_id", "bm25_rank"), ["item_id", "doc_id"], "left")
+    ranks = hits.groupBy("item_id").agg(F.min("bm25_rank").alias("hit_rank"))
+    scores = recall_and_mrr(ranks)
+    return scores.select("cases", *[F.round(c, 6).alias(c) for c in scores.columns if c != "cases"])
+
+
+def _holders(texts: DataFrame, items: DataFrame, width: int = 4) -> DataFrame:
+    """(item_id, doc_id): documents that hold an item's text verbatim.
+
+    Both sides meet on the first words of the item, so only documents with that very run
+    of words are searched. Items shorter than the run are their own key.
+    """
+    words = lambda column: F.filter(F.split(column, r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    heads = items.select("item_id", F.col("text").alias("item_text"), words(F.col("text")).alias("w")).select(
+        "item_id", "item_text", F.explode(F.array(F.array_join(F.slice("w", 2, width), " "))).alias("run"))
+    runs = texts.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(
+        F.when(F.size("w") >= width, F.sequence(F.lit(1), F.size("w") - width + 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.array_join(F.slice("w", i, width), " ")))).alias("run"))
+    candidates = runs.join(heads, "run").select("item_id", "item_text", "doc_id").distinct()
+    return candidates.join(texts.select("doc_id", "text"), "doc_id").filter(F.contains("text", "item_text")).select("item_id", "doc_id")
+
+
+@query("section_candidates", f"""
+WITH {_LINES_SQL}, p AS (SELECT doc_id, lang, first_line, path || ' ' || split_part(body, ' ', 1) AS section_path FROM paths),
+pt AS (SELECT DISTINCT lang, section_path FROM p),
+pw AS (SELECT DISTINCT lang, section_path, word FROM (SELECT lang, section_path, unnest(regexp_extract_all(lower(section_path), '{TOKEN_SQL}')) AS word FROM pt)
+    WHERE NOT list_contains({STOPWORDS_SQL}, word)),
+np AS (SELECT lang, count(*) AS paths FROM pt GROUP BY lang), df AS (SELECT lang, word, count(*) AS df FROM pw GROUP BY ALL),
+q AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS lang,
+    list_distinct(list_filter(regexp_extract_all(lower(text), '{TOKEN_SQL}'), lambda x: NOT list_contains({STOPWORDS_SQL}, x))) AS words FROM benchmark),
+qw AS (SELECT item_id, lang, len(words) AS asked, unnest(words) AS word FROM q),
+s AS (SELECT item_id, pw.lang, section_path, round(sum(ln((paths + 1) / (df + 1)) + 1) * (1 + count(*) / asked), 9) AS score
+    FROM pw JOIN df USING (lang, word) JOIN np USING (lang) JOIN qw USING (lang, word) GROUP BY item_id, pw.lang, section_path, asked),
+c AS (SELECT *, row_number() OVER (PARTITION BY lang, section_path ORDER BY doc_id * 1000 + first_line) AS k FROM p),
+r AS (SELECT item_id, doc_id * 1000 + first_line AS chunk, s.section_path, round(score, 6) AS score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id * 1000 + first_line) AS section_rank
+    FROM s JOIN c ON c.lang = s.lang AND c.section_path = s.section_path WHERE k <= 2)
+SELECT item_id, chunk, section_path, score, section_rank FROM r WHERE section_rank <= 12""")
+def section_candidates(spark, sf):
+    rows = _markdown(spark, sf).select("doc_id", "lang", F.explode(sections.markdown_sections(F.col("text"))).alias("s"))
+    first_line = F.regexp_extract(F.element_at("s.path", -1), r"(\d+)$", 1).cast("long")
+    chunks = rows.select(
+        F.col("lang").alias("scope"), F.concat(F.array_join("s.path", " > "), F.lit(" "), F.get(F.split("s.body", " ", 2), F.lit(0))).alias("section_path"),
+        (F.col("doc_id") * 1000 + first_line).alias("chunk_number"), (F.col("doc_id") * 1000 + first_line).alias("doc_id"))
+    code = F.col("item_id") % 4
+    questions = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.when(code == 0, "en").when(code == 1, "fr").when(code == 2, "de").otherwise("es").alias("scope"),
+        F.col("text").alias("question"))
+    found = fusion.section_candidates(chunks, questions)
+    return found.select(
+        F.col("query_id").alias("item_id"), F.col("doc_id").alias("chunk"), "section_path",
+        F.round("section_structural_score", 6).alias("score"), F.col("section_rank").cast("long").alias("section_rank"))
+
+
+@query("per_section_cap", """
+SELECT source, doc_id, n_chars, position FROM (
+    SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS position FROM documents) WHERE position <= 2""")
+def per_section_cap(spark, sf):
+    rows = documents(spark, sf).select("source", "doc_id", "n_chars")
+    capped = ranking.first_per_group(rows, ["source"], [F.desc("n_chars"), F.asc("doc_id")], 2)
+    return capped.select("source", "doc_id", "n_chars", F.col("group_position").cast("long").alias("position"))
+
+
+@query("token_overlap_scores", f"""
+WITH q AS (SELECT DISTINCT conv_id, word FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS word FROM conversations WHERE turn = 0)
+    WHERE NOT list_contains({STOPWORDS_SQL}, word)),
+a AS (SELECT DISTINCT conv_id, turn, word FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS word FROM conversations WHERE turn > 0)),
+n AS (SELECT conv_id, count(*) AS asked FROM q GROUP BY conv_id),
+h AS (SELECT conv_id, turn, count(*) AS hits FROM a JOIN q USING (conv_id, word) GROUP BY ALL)
+SELECT c.conv_id, c.turn, round(coalesce(hits / asked, 0), 6) AS score FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn > 0) c
+JOIN (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0) z USING (conv_id) LEFT JOIN n USING (conv_id) LEFT JOIN h USING (conv_id, turn)""")
+def token_overlap_scores(spark, sf):
+    turns = table(spark, sf, "conversations")
+    asked = turns.filter("turn = 0").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("question"))
+    rows = turns.filter("turn > 0").groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
+    score = fusion.lexical_overlap(F.col("question"), F.col("text"))
+    return rows.join(asked, "conv_id").select("conv_id", "turn", F.round(score, 6).alias("score"))
+
+
+# ---- lists, budgets, fidelity -------------------------------------------------
+
+
+@query("dedup_ordered", """
+SELECT source, first_doc, lines FROM (SELECT source, line, min(doc_id) AS first_doc, count(*) AS lines FROM (
+    SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY source, line) WHERE lines > 1""")
+def dedup_ordered(spark, sf):
+    lines = documents(spark, sf).select("source", "doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    first = lines.groupBy("source", "line").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("lines"))
+    return first.filter("lines > 1").select("source", "first_doc", "lines")
+
+
+@query("byte_budget_truncation", """
+SELECT source, doc_id, used_bytes FROM (SELECT source, doc_id, CAST(sum(greatest(octet_length(encode(text)), 1)) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS used_bytes
+    FROM documents) WHERE used_bytes <= 3000""")
+def byte_budget_truncation(spark, sf):
+    rows = documents(spark, sf).select("source", "doc_id", "text")
+    kept = ranking.fit_byte_budget(rows, ["source"], [F.asc("doc_id")], F.col("text"), 3000)
+    return kept.select("source", "doc_id", F.col("used_bytes").cast("long").alias("used_bytes"))
+
+
+@query("list_fidelity", r"""
+WITH n AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS name FROM part), t AS (
+    SELECT conv_id, turn, regexp_split_to_array(text, '[!?;\n]') AS parts, text FROM conversations),
+a AS (SELECT conv_id, turn, list_aggregate(list_filter(parts, lambda x: NOT regexp_matches(x, '(?i)\b(?:à\s+tort|exclus?)\b')), 'string_agg', chr(10)) AS kept FROM t)
+SELECT conv_id, turn, count(*) FILTER (contains(replace(lower(coalesce(kept, '')), 'ß', 'ss'), name)) AS affirmed, count(*) AS names FROM a, n GROUP BY ALL""")
+def list_fidelity(spark, sf):
+    names = table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ", -1)).alias("name")).distinct()
+    listing = names.agg(F.sort_array(F.collect_list("name")).alias("names"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", fidelity.affirming_text(F.col("text")).alias("kept"))
+    rows = turns.withColumn("names", listing.scalar())
+    found = F.size(F.filter("names", lambda name: F.contains(F.col("kept"), name)))
+    return rows.select("conv_id", "turn", found.cast("long").alias("affirmed"), F.size("names").cast("long").alias("names"))
