@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.text import token_counts_column, tokens_column
 from lorespark.operators.ranking import ranked_topk
-from lorespark.operators.topk_scan import BestRows, merge_topk, scan
+from lorespark.operators.topk_scan import BestRows, merge_topk, no_results, scan
 from lorespark.session import bounded_rows
 
 # Fixed values of the ranking function.
@@ -83,6 +83,8 @@ def bm25_topk(
     rows = bounded_rows(weights) if broadcast_bound is None else bounded_rows(weights, broadcast_bound)
     if rows is None:
         return _join_topk(index, weights, k, scope is not None)
+    if not rows:
+        return no_results(index, k, True, "bm25_rank")
     return scan(index, _scorer(rows, k, scope is not None), k, True, "bm25_rank")
 
 

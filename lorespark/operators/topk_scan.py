@@ -74,3 +74,8 @@ def merge_topk(partial: DataFrame, k: int, largest: bool, rank: str) -> DataFram
 
 def scan(corpus: DataFrame, score_batches: Callable[[Iterator], Iterator], k: int, largest: bool, rank: str) -> DataFrame:
     return merge_topk(corpus.mapInArrow(score_batches, SCAN_SCHEMA), k, largest, rank)
+
+
+def no_results(corpus: DataFrame, k: int, largest: bool, rank: str) -> DataFrame:
+    """Ranking of an empty query set."""
+    return merge_topk(corpus.sparkSession.createDataFrame([], SCAN_SCHEMA), k, largest, rank)

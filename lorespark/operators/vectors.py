@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.operators.topk_scan import SCAN_SCHEMA, BestRows, merge_topk, scan
+from lorespark.operators.topk_scan import SCAN_SCHEMA, BestRows, merge_topk, no_results, scan
 from lorespark.session import bounded_rows
 
 DEFAULT_CANDIDATES = 100
@@ -50,9 +50,11 @@ def nearest(
     rows = bounded_rows(queries, query_bound)
     if rows is None:
         return _sharded(corpus, queries, k, scope, query_bound)
+    if not rows:
+        return no_results(corpus, k, False, "vector_rank")
     rows.sort(key=lambda row: row["query_id"])
     query_ids = [row["query_id"] for row in rows]
-    wanted = _unit_rows(np.asarray([row["vector"] for row in rows], dtype=np.float64)).T if rows else np.zeros((1, 0))
+    wanted = _unit_rows(np.asarray([row["vector"] for row in rows], dtype=np.float64)).T
     scopes = [row["scope"] for row in rows] if scope else []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +82,9 @@ def _sharded(corpus: DataFrame, queries: DataFrame, k: int, scope: bool, query_b
     blocks = max(1, -(-queries.count() * 2 // query_bound))
     shards = max(1, -(-corpus.count() // SHARD_ROWS))
     left = corpus.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def score(_key, documents: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if documents.empty or asked.empty:

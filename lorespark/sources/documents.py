@@ -64,7 +64,7 @@ def metadata_value(text: Column, labels: list[str]) -> Column:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty Markdown files with their number, slug, title and header values."""
-    rows = spark.read.option("wholetext", True).text(path).select(
+    rows = spark.read.text(path, wholetext=True).select(
         F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("source_file"),
         F.regexp_replace("value", r"^\s+|\s+$", "").alias("text")).filter("text <> ''")
     stem = F.regexp_replace("source_file", r"\.[^.]*$", "")
