@@ -30,15 +30,19 @@ def lexical_index(documents: DataFrame, doc_id: str, text: str, scope: str | Non
     ).withColumn("length", F.aggregate("counts", F.lit(0), lambda total, item: total + item["tf"]))
 
 
-def term_statistics(index: DataFrame) -> DataFrame:
-    """(term, df, idf, documents, mean_length) over the whole corpus.
+def term_totals(index: DataFrame) -> DataFrame:
+    """(term, df, occurrences), and one row without term for the corpus size and total length.
 
-    A row without term travels with the terms of each document, so the corpus size and
-    the total length come out of the same pass and the same aggregation.
+    The corpus row travels with the terms of each document, so everything comes out of
+    the same pass and the same aggregation.
     """
     marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("length").alias("tf")))
     rows = index.select(F.explode(F.concat(marker, F.col("counts"))).alias("item"))
-    totals = rows.groupBy("item.term").agg(F.count(F.lit(1)).alias("df"), F.sum("item.tf").alias("occurrences"))
+    return rows.groupBy("item.term").agg(F.count(F.lit(1)).alias("df"), F.sum("item.tf").alias("occurrences"))
+
+
+def term_statistics(totals: DataFrame) -> DataFrame:
+    """(term, df, raw_idf, documents, mean_length) over the whole corpus."""
     corpus = totals.filter("term IS NULL")
     documents = corpus.select("df").scalar()
     mean_length = corpus.select(F.col("occurrences") / F.col("df")).scalar()
@@ -79,10 +83,13 @@ def bm25_topk(
     Term rarity is measured on the whole corpus; a scope only restricts which documents
     are ranked. Documents without any query token score zero and still fill the list.
     """
-    weights = query_weights(queries, term_statistics(index), query_id, text, scope)
+    # The vocabulary is read several times (rarity, its mean, the corpus size): kept, it costs one pass.
+    totals = term_totals(index).persist()
+    weights = query_weights(queries, term_statistics(totals), query_id, text, scope)
     rows = bounded_rows(weights) if broadcast_bound is None else bounded_rows(weights, broadcast_bound)
     if rows is None:
         return _join_topk(index, weights, k, scope is not None)
+    totals.unpersist()
     if not rows:
         return no_results(index, k, True, "bm25_rank")
     return scan(index, _scorer(rows, k, scope is not None), k, True, "bm25_rank")

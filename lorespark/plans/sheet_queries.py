@@ -14,7 +14,7 @@ from lorespark.plans.evolutions import evolution_rules
 from lorespark.plans.sheet import measure_texts, readable_text, sheet_facts
 from lorespark.plans.text_queries import key_sql
 from lorespark.plans.warehouse import ROLE_SQL, warehouse_catalogue
-from lorespark.session import table
+from lorespark.session import table, wide_table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -153,7 +153,7 @@ FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity) AS BIGINT) + 1 AS
 def question_level_bounds(spark, sf):
     level = F.col("l_quantity").cast("int")
     text = F.concat(F.lit("Que peut-il apprendre après le niveau "), level, F.lit(" et avant le niveau "), level + F.col("l_linenumber"), F.lit(" ?"))
-    found = explicit_constraints(table(spark, sf, "lineitem").withColumn("question", text))
+    found = explicit_constraints(wide_table(spark, sf, "lineitem").withColumn("question", text))
     return found.select(
         "l_orderkey", "l_linenumber", F.col("level.low").cast("long").alias("min_level"), F.col("level.high").cast("long").alias("max_level"),
         F.col("level.error").alias("error"))
@@ -167,7 +167,7 @@ def question_search_constraints(spark, sf):
     text = F.concat(
         F.lit("Quels Pokémon "), F.when(F.col("c_nationkey") % 2 == 0, "légendaires ").otherwise(""), F.lit("de type "), kind, F.lit(" de la génération "),
         F.col("c_nationkey") % 9 + 1, F.lit(" ont une capacité de puissance d'au moins "), F.col("c_custkey") % 100 + 1, F.lit(" ?"))
-    found = explicit_constraints(table(spark, sf, "customer").withColumn("question", text))
+    found = explicit_constraints(wide_table(spark, sf, "customer").withColumn("question", text))
     return found.select(
         "c_custkey", F.col("generation.value").cast("long").alias("generation"), F.get("types.types", F.lit(0)).alias("type"),
         F.col("classification.legendary").alias("legendary"), F.col("power.low").cast("long").alias("power"))
@@ -180,7 +180,7 @@ def question_rankings(spark, sf):
     wording = F.element_at(F.array(
         F.lit("les Pokémon les plus lents"), F.lit("les Pokémon avec la meilleure Défense"), F.lit("les Pokémon plus lourds")), F.col("p_size") % 3 + 1)
     text = F.concat(F.when(F.col("p_size") % 2 == 1, F.concat(F.lit("Top "), "p_size", F.lit(" : "))).otherwise(""), wording)
-    found = explicit_constraints(table(spark, sf, "part").withColumn("question", text))
+    found = explicit_constraints(wide_table(spark, sf, "part").withColumn("question", text))
     return found.select(
         "p_partkey", "ranking.sort_by", "ranking.sort_order", "ranking.best_only", F.col("ranking.limit").cast("long").alias("result_limit"))
 
@@ -190,7 +190,7 @@ WITH t AS (SELECT conv_id, turn, {key_sql('text')} AS k FROM conversations)
 SELECT conv_id, turn, regexp_matches(k, '(?:^|-)(?:types?|numeros?|generations?|evolu[a-z]*|capacites?|attaques?|statistiques?|stats?|talents?|ct|cs|niveaux?|pv|vitesse|defense)(?:-|$)') AS structured,
     regexp_matches(k, '(?:^|-)(?:crai(?:nt|gn[a-z]*)|faibles?-(?:a|au|aux|contre|face)|faiblesses?|resist[a-z]*|immunis[a-z]*|immunites?|(?:in)?sensibles?|vulnerab[a-z]*)(?:-|$)') AS matchup FROM t""")
 def question_cues(spark, sf):
-    found = explicit_constraints(table(spark, sf, "conversations"), "text")
+    found = explicit_constraints(wide_table(spark, sf, "conversations"), "text")
     return found.select("conv_id", "turn", F.col("has_structured_request").alias("structured"), F.col("is_matchup").alias("matchup"))
 
 
@@ -213,7 +213,7 @@ def hybrid_retrieval(spark, sf):
     """The whole pipeline: documents with the vector of their number, benchmark texts as questions."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("vector"))
     slots = vectors.agg(F.max("slot") + 1).scalar()
-    chunks = table(spark, sf, "documents").withColumn("slot", F.col("doc_id") % slots).join(vectors, "slot").select(
+    chunks = wide_table(spark, sf, "documents").withColumn("slot", F.col("doc_id") % slots).join(vectors, "slot").select(
         "doc_id", F.col("lang").alias("scope"), F.col("source").alias("source_file"), F.col("lang").alias("section_path"),
         F.col("doc_id").cast("int").alias("chunk_number"), F.col("doc_id").cast("int").alias("section_chunk_number"), "text", "vector")
     questions = table(spark, sf, "benchmark").withColumn("slot", F.col("item_id") % slots).join(vectors, "slot").select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import name_key_column, section_tokens_column, tokens_column
 from lorespark.operators import fidelity, fusion, lexical, mentions, ranking, sections, vectors
 from lorespark.operators.evaluation import first_hit_rank, recall_and_mrr
-from lorespark.session import table
+from lorespark.session import table, wide_table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -34,7 +34,7 @@ STOPWORDS_SQL = ("['a','à','au','aux','avec','ce','ces','cette','dans','de','de
 
 
 def documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents")
+    return wide_table(spark, sf, "documents")
 
 
 @query("normalize_keys", f"""
@@ -68,7 +68,7 @@ WITH {_ALIASES_SQL}, t AS (SELECT conv_id * 1000 + turn AS text_id, '-' || {key_
 m AS (SELECT DISTINCT text_id, target, alias_key FROM t JOIN aliases ON contains(k, '-' || alias_key || '-'))
 SELECT text_id, min(target) AS target FROM m GROUP BY text_id HAVING count(*) = 1""")
 def mention_lookup_unique(spark, sf):
-    texts = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
+    texts = wide_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
     return mentions.unique_mention(mentions.mentions(texts, "text_id", "text", _aliases(spark, sf), 2), "text_id")
 
 
@@ -204,7 +204,7 @@ st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok)
 SELECT term, count(*) AS df, round(ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5), 6) AS idf, round(any_value(avgdl), 6) AS mean_length
 FROM tf, st GROUP BY term""")
 def term_statistics(spark, sf):
-    rows = lexical.term_statistics(lexical.lexical_index(documents(spark, sf), "doc_id", "text"))
+    rows = lexical.term_statistics(lexical.term_totals(lexical.lexical_index(documents(spark, sf), "doc_id", "text")))
     return rows.select("term", "df", F.round("raw_idf", 6).alias("idf"), F.round("mean_length", 6).alias("mean_length"))
 
 
@@ -349,7 +349,7 @@ h AS (SELECT conv_id, turn, count(*) AS hits FROM a JOIN q USING (conv_id, word)
 SELECT c.conv_id, c.turn, round(coalesce(hits / asked, 0), 6) AS score FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn > 0) c
 JOIN (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0) z USING (conv_id) LEFT JOIN n USING (conv_id) LEFT JOIN h USING (conv_id, turn)""")
 def token_overlap_scores(spark, sf):
-    turns = table(spark, sf, "conversations")
+    turns = wide_table(spark, sf, "conversations")
     asked = turns.filter("turn = 0").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("question"))
     rows = turns.filter("turn > 0").groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
     score = fusion.lexical_overlap(F.col("question"), F.col("text"))
@@ -385,7 +385,7 @@ SELECT conv_id, turn, count(*) FILTER (contains(replace(lower(coalesce(kept, '')
 def list_fidelity(spark, sf):
     names = table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ", -1)).alias("name")).distinct()
     listing = names.agg(F.sort_array(F.collect_list("name")).alias("names"))
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", fidelity.affirming_text(F.col("text")).alias("kept"))
+    turns = wide_table(spark, sf, "conversations").select("conv_id", "turn", fidelity.affirming_text(F.col("text")).alias("kept"))
     rows = turns.withColumn("names", listing.scalar())
     found = F.size(F.filter("names", lambda name: F.contains(F.col("kept"), name)))
     return rows.select("conv_id", "turn", found.cast("long").alias("affirmed"), F.size("names").cast("long").alias("names"))
@@ -414,7 +414,7 @@ def _html_sql(column: str) -> str:
 def markup_cleaning(spark, sf):
     from lorespark.operators.cleaning import html_to_markdown
 
-    rows = table(spark, sf, "pages").select("page_id", html_to_markdown(F.col("html")).alias("k"))
+    rows = wide_table(spark, sf, "pages").select("page_id", html_to_markdown(F.col("html")).alias("k"))
     return rows.select("page_id", F.md5("k").alias("cleaned_hash"), F.length("k").cast("long").alias("cleaned_size"))
 
 
@@ -428,7 +428,7 @@ def doc_quality_rules(spark, sf):
     from lorespark.operators.cleaning import quality_report
 
     title = F.regexp_extract("html", "<title>([^<]*)", 1)
-    pages = table(spark, sf, "pages").withColumn("title", title).withColumn("cleaned", F.concat(F.lit("# "), "title", F.lit("\n\n"), "html"))
+    pages = wide_table(spark, sf, "pages").withColumn("title", title).withColumn("cleaned", F.concat(F.lit("# "), "title", F.lit("\n\n"), "html"))
     report = quality_report(pages, "html", "cleaned", "title")
     too_long = F.size(F.filter("warnings", lambda w: w.startswith("Document nettoyé plus long")))
     return report.select("page_id", F.size("errors").cast("long").alias("errors"), too_long.cast("long").alias("too_long"), "status")
@@ -442,7 +442,7 @@ def wiki_cleaning_templates(spark, sf):
     """Each order written as a wiki page with nested templates, lists, links and empty sections."""
     from lorespark.operators.cleaning import clean_pages
 
-    orders = table(spark, sf, "orders").withColumn("title", F.concat(F.lit("Order "), F.col("o_orderkey")))
+    orders = wide_table(spark, sf, "orders").withColumn("title", F.concat(F.lit("Order "), F.col("o_orderkey")))
     page = F.concat(
         F.lit("# {{PAGENAME}}<!-- x -->\n\n=== Vide ===\n\n{{Ruban Pokémon|{{Jeu|EV}}}}\n{{Statistiques|PV="), "o_custkey",
         F.lit("|vitesse="), "o_orderpriority", F.lit("|x={{ps|a}}}}\n\n* '''"), "o_orderstatus", F.lit("'''\n** "), "o_custkey",

@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # A relation may be shipped to every task only below this many rows.
 BROADCAST_ROW_BOUND = 100_000
@@ -59,9 +58,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def all_of(conditions: list[Column]) -> Column:
-    """Conjunction of a condition list; an empty list keeps every row."""
-    result = F.lit(True)
-    for condition in conditions:
-        result = result & condition
-    return result
+def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Table whose rows are expensive to process.
+
+    A file with fewer splits than there are cores is dealt over all of them; with at
+    least one split per core, the normal case of large data, nothing is moved.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
