@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import name_key, name_key_column
 from lorespark.operators.labels import label_view, language_ids, names_by_object
 from lorespark.plans.vocabulary import EVOLUTION_STAGES, MOVE_ALIASES, SOURCE_TABLES
+from lorespark.session import bounded_rows
+
+
+# Label dimensions up to this size are read once and matched on the driver.
+DIMENSION_BOUND = 10_000
 
 
 class Catalogue:
     def __init__(self, tables: dict[str, DataFrame]):
         self._tables = tables
+        self._dimensions: dict[str, list | None] = {}
 
     @classmethod
     def from_source(cls, tables: dict[str, DataFrame]) -> "Catalogue":
@@ -102,24 +108,38 @@ class Catalogue:
         wanted = MOVE_ALIASES.get(name_key(name), name_key(name))
         return _only(self.move_aliases().filter(F.col("alias_key") == name_key(wanted)), ["move_id"], "move", name)
 
+    def _lookup(self, role: str, key: str, columns: list[str], value: str, by_name: bool):
+        """The single row of a label dimension that a value designates.
+
+        A dimension proven small is read once per catalogue, that is once per state of the
+        data; a larger one is filtered by Spark.
+        """
+        if role not in self._dimensions:
+            self._dimensions[role] = bounded_rows(self[role], DIMENSION_BOUND)
+        rows = self._dimensions[role]
+        wanted = name_key(value) if by_name else value
+        if rows is None:
+            cells = [name_key_column(F.col(c)) if by_name else F.col(c) for c in columns]
+            return _only(self[role].filter(F.array_contains(F.array(*cells), wanted)), [key], role, value)
+        matching = {row[key]: row for row in rows if wanted in [name_key(row[c]) if by_name else row[c] for c in columns]}
+        return _one(list(matching.values()), role, value)
+
     def resolve_type(self, value):
         if not isinstance(value, str) or not value.strip():
             raise ValueError("a type must be a non-empty text")
-        keys = F.array(*[name_key_column(F.col(c)) for c in ("identifier", "name_fr", "name_en")])
-        matching = self["type_label"].filter(F.array_contains(keys, name_key(value)))
-        return _only(matching, ["type_id"], "type", value)
+        return self._lookup("type_label", "type_id", ["identifier", "name_fr", "name_en"], value, True)
 
     def resolve_game(self, identifier):
         if identifier is None:
             return None
         if not isinstance(identifier, str) or not identifier.strip():
             raise ValueError("a game must be a non-empty identifier")
-        return _only(self["game"].filter(F.col("identifier") == identifier), ["game_id"], "game", identifier)
+        return self._lookup("game", "game_id", ["identifier"], identifier, False)
 
     def resolve_method(self, identifier):
         if not isinstance(identifier, str):
             raise ValueError("a learning method must be an identifier")
-        return _only(self["method"].filter(F.col("identifier") == identifier), ["method_id"], "method", identifier)
+        return self._lookup("method", "method_id", ["identifier"], identifier, False)
 
     def known_values(self, columns: list[str], separator: str | None = None) -> DataFrame:
         """Distinct non-blank values of several sheet columns, split where a separator is given."""
@@ -179,7 +199,10 @@ def stage_label(value) -> str:
 
 def _only(matching: DataFrame, keys: list[str], kind: str, value):
     """The single row designated by a name: none and several are different errors."""
-    rows = matching.dropDuplicates(keys).limit(2).collect()
+    return _one(matching.dropDuplicates(keys).limit(2).collect(), kind, value)
+
+
+def _one(rows: list, kind: str, value):
     if not rows:
         raise ValueError(f"unknown {kind}: {value!r}")
     if len(rows) > 1:
