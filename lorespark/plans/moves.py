@@ -66,8 +66,12 @@ def move_filter(
 
 
 def learn_with_moves(cat: Catalogue) -> DataFrame:
-    """The learning fact with the move properties that filters use."""
-    return cat["learn"].join(cat["move"].select("move_id", "type_id", "damage_class_id", "power"), "move_id")
+    """The learning fact with the move properties that filters use.
+
+    A row whose move is unknown stays, because it still says that its game holds data.
+    """
+    properties = cat["move"].select("move_id", "type_id", "damage_class_id", "power", F.lit(True).alias("known_move"))
+    return cat["learn"].join(properties, "move_id", "left")
 
 
 def damage_class_label(column: Column) -> Column:

@@ -195,10 +195,11 @@ _SHEET_COLUMNS = {column for column, _ in BASE_STATS.values()} | {
 def _entities_with_moves(cat: Catalogue, filters, game) -> DataFrame:
     """Entities with one learning row that satisfies every move condition, and the game used."""
     learn = learn_with_moves(cat)
+    condition = filters.condition() & F.col("known_move").isNotNull()
     if game is not None:
-        fixed = (F.col("game_id") == game["game_id"]) & filters.condition()
+        fixed = (F.col("game_id") == game["game_id"]) & condition
         return latest.matching_in_game(learn, ["entity_id", "game_id"], fixed)
-    return latest.matching_in_latest(learn, cat["game"], ["entity_id"], filters.condition(), method=filters.method())
+    return latest.matching_in_latest(learn, cat["game"], ["entity_id"], condition, method=filters.method())
 
 
 def missing_default_forms(cat: Catalogue) -> DataFrame:
