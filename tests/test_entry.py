@@ -18,7 +18,8 @@ SAMPLE = [
 def test_registry_is_consistent():
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries)
-    assert set(queries) - set(oracle) == {"section_chunks", "hybrid_retrieval"}
+    extra = entry.llm_queries.QUERIES if entry.llm_queries else {}
+    assert set(queries) - set(oracle) - set(extra) == {"section_chunks", "hybrid_retrieval"}
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables absent")
