@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lorespark.llm import merkle
+from lorespark.llm import merkle, quality, toxicity
 from lorespark.llm.common import documents
 
 QUERIES: dict = {}
@@ -43,3 +43,15 @@ FROM own JOIN prints e ON e.doc_id = own.doc_id AND e.kind = 'edited'"""
 @query("op10_merkle_fingerprints", MERKLE_SQL)
 def op10_merkle_fingerprints(spark, sf):
     return merkle.fingerprints(documents(spark, sf))
+
+
+@query("op7_toxicity_scores")
+def op7_toxicity_scores(spark, sf):
+    docs = documents(spark, sf)
+    return toxicity.toxicity_scores(docs, toxicity.train_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+
+@query("op9_quality_scores")
+def op9_quality_scores(spark, sf):
+    docs = documents(spark, sf)
+    return quality.quality_scores(docs, quality.train_quality(docs, spark.read.parquet(f"{sf}/labels.parquet")))
