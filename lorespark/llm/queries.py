@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lorespark.llm import merkle, quality, toxicity
+from lorespark.llm import best_fit, merkle, quality, token_output, toxicity
 from lorespark.llm.common import documents
 
 QUERIES: dict = {}
@@ -55,3 +55,13 @@ def op7_toxicity_scores(spark, sf):
 def op9_quality_scores(spark, sf):
     docs = documents(spark, sf)
     return quality.quality_scores(docs, quality.train_quality(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf):
+    return best_fit.best_fit_packing(documents(spark, sf))
+
+
+@query("op6_token_rows")
+def op6_token_rows(spark, sf):
+    return token_output.token_rows(documents(spark, sf))
