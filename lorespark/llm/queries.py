@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lorespark.llm import best_fit, merkle, quality, token_output, toxicity
+from lorespark.llm import best_fit, merkle, probminhash, quality, token_output, toxicity
 from lorespark.llm.common import documents
 
 QUERIES: dict = {}
@@ -65,3 +65,8 @@ def op4_best_fit_packing(spark, sf):
 @query("op6_token_rows")
 def op6_token_rows(spark, sf):
     return token_output.token_rows(documents(spark, sf))
+
+
+@query("op5_probminhash_near_duplicates")
+def op5_probminhash_near_duplicates(spark, sf):
+    return probminhash.near_duplicates(documents(spark, sf))
