@@ -7,8 +7,8 @@ soon as its next arrival is later than the latest register, so a long text costs
 
 ``BANDS`` bands of ``ROWS`` registers give candidates (a pair at 0.8 shares a band with probability 0.99995). A bucket is never
 expanded into all its pairs: first every document meets the least one of its bucket, the verified links are closed into
-classes, and then only documents of one bucket that are still in different classes meet. So no link of a bucket is lost, and
-a large group of copies costs one pair per copy and band at most. A link needs a Jaccard index of the shingle sets of
+classes, and then only documents of one bucket that are still in different classes meet, in large buckets by way of their
+rarest shingles. So no link of a bucket is lost, and a large group of copies costs one pair per copy and band at most. A link needs a Jaccard index of the shingle sets of
 ``SIMILARITY`` at least, computed from the whole sets. Texts with equal shingles are one node from the start.
 
 Defined results: a null text is empty; texts without words are equal to each other; a text of fewer than five words is one
@@ -31,6 +31,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+# Buckets up to this size are paired as they are, larger ones by prefixes of their rarest shingles: the links are the same.
+PAIRED_BUCKET = 24
 CHUNK = 200_000  # shingles whose arrivals are drawn together
 
 
@@ -104,10 +106,10 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for frame in batches:
             yield pd.DataFrame({"node": frame["doc_id"], "shingles": [
-                np.unique((shingle_counts(t, hashes)[0] >> np.uint64(32)).astype("<u4")).tobytes() for t in frame["text"]]})
+                np.unique((shingle_counts(t, hashes)[0] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in frame["text"]]})
 
     return texts(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInPandas(
-        run, "node long, shingles binary")
+        run, "node long, shingles array<int>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -117,7 +119,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         for frame in batches:
             good = []
             for one, other in zip(frame["one"], frame["other"]):
-                x, y = np.frombuffer(one, dtype="<u4"), np.frombuffer(other, dtype="<u4")
+                x, y = np.asarray(one), np.asarray(other)
                 small, large = min(len(x), len(y)), max(len(x), len(y))
                 if small < similarity * large:
                     good.append(False)
@@ -126,7 +128,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 good.append(common >= similarity * (len(x) + len(y) - common))
             yield frame.loc[good, ["a", "b"]]
 
-    sized = sets.select("node", "shingles", F.length("shingles").alias("size"))
+    sized = sets.select("node", "shingles", F.size("shingles").alias("size"))
     one = sized.select(F.col("node").alias("a"), F.col("shingles").alias("one"), F.col("size").alias("size_a"))
     other = sized.select(F.col("node").alias("b"), F.col("shingles").alias("other"), F.col("size").alias("size_b"))
     # Sets whose sizes differ too much cannot be similar; the condition drops them before the larger payload joins.
@@ -135,6 +137,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return met.select("a", "b", "one", "other").mapInPandas(run, "a long, b long").distinct()
 
 
+def _rarest_first(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of ``nodes`` in different components that a set similarity join by prefixes cannot rule out.
+
+    Shingles are ordered from the rarest to the most frequent one. Sets this similar share a shingle among the first few of
+    both, and what follows its places must be long enough for the overlap. In a group of loose copies of one text the
+    rarest shingles are the changed ones, which nobody shares: such copies meet no one, and no pair is lost.
+    """
+    items = sets.join(nodes, "node").select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    counts = items.groupBy("s").agg(F.count("*").alias("df"))
+    ordered = items.join(counts, "s").groupBy("node", "component", "size").agg(
+        F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
+    prefix = F.slice("o", F.lit(1), (F.col("size") - F.ceil(F.col("size") * similarity) + 1).cast("int"))
+    firsts = written(ordered.select("node", "component", "size", F.posexplode(prefix).alias("at", "f")).where("f.df > 1").select(
+        "node", "component", "size", "at", "f.s"))
+    left, right = (firsts.select("s", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "component", "size", "at")]) for n in "ab")
+    needed = (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6
+    possible = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= needed
+    return left.join(right, "s").where("node_a > node_b AND component_a <> component_b").where(possible).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id`` and ``class_id`` (the least ``doc_id`` of the class) of every document."""
     signed = written(document_signatures(docs))
@@ -147,15 +170,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     met = written(placed.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     links = written(_verified(met, sets, similarity))
-    # Rows of one doc_id that fell into several nodes are one document: their nodes carry the same id already.
     stars = components(links)
     labelled = placed.join(stars.select("node", "component"), "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rest = written(labelled.join(mixed.select("bucket"), "bucket"))
-    left, right = (rest.select("bucket", F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in ("a", "b"))
-    crossed = left.join(right, "bucket").where("a > b AND c_a <> c_b").select("a", "b").distinct()
-    more = _verified(crossed.join(met, ["a", "b"], "left_anti"), sets, similarity)
+    mixed = labelled.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
+    rest = written(labelled.join(mixed.select("bucket", "size"), "bucket"))
+    small, large = rest.where(F.col("size") <= PAIRED_BUCKET), rest.where(F.col("size") > PAIRED_BUCKET)
+    left, right = (small.select("bucket", F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in ("a", "b"))
+    crossed = left.join(right, "bucket").where("a > b AND c_a <> c_b").select("a", "b")
+    loose = _rarest_first(large.select("node", "component").distinct(), sets, similarity)
+    more = _verified(crossed.unionByName(loose).distinct().join(met, ["a", "b"], "left_anti"), sets, similarity)
     classes = components(links.unionByName(more)).withColumnRenamed("node", "_node")
 
     return signed.select("doc_id", "c1", "c2").join(nodes.select("c1", "c2", "node"), ["c1", "c2"]).join(
