@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lorespark.llm import best_fit, merkle, probminhash, quality, token_output, toxicity
+from lorespark.llm import best_fit, line_dedup, merkle, probminhash, quality, token_output, toxicity
 from lorespark.llm.common import documents
 
 QUERIES: dict = {}
@@ -70,3 +70,8 @@ def op6_token_rows(spark, sf):
 @query("op5_probminhash_near_duplicates")
 def op5_probminhash_near_duplicates(spark, sf):
     return probminhash.near_duplicates(documents(spark, sf))
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark, sf):
+    return line_dedup.line_report(documents(spark, sf))
