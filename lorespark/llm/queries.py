@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lorespark.llm import best_fit, line_dedup, merkle, probminhash, quality, token_output, toxicity
+from lorespark.llm import best_fit, decontamination, line_dedup, merkle, probminhash, quality, token_output, toxicity
 from lorespark.llm.common import documents
 
 QUERIES: dict = {}
@@ -75,3 +75,8 @@ def op5_probminhash_near_duplicates(spark, sf):
 @query("op3_line_dedup")
 def op3_line_dedup(spark, sf):
     return line_dedup.line_report(documents(spark, sf))
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark, sf):
+    return decontamination.overlaps(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
