@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lorespark.llm import best_fit, decontamination, line_dedup, merkle, probminhash, quality, token_output, toxicity
+from lorespark.llm import best_fit, decontamination, line_dedup, merkle, passages, probminhash, quality, token_output, toxicity
 from lorespark.llm.common import documents
 
 QUERIES: dict = {}
@@ -80,3 +80,8 @@ def op3_line_dedup(spark, sf):
 @query("op1_decontamination")
 def op1_decontamination(spark, sf):
     return decontamination.overlaps(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+@query("op8_compact_window_passages")
+def op8_compact_window_passages(spark, sf):
+    return passages.repeated_passages(documents(spark, sf))
