@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lorespark.llm import best_fit, decontamination, line_dedup, merkle, passages, probminhash, quality, token_output, toxicity
+from lorespark.llm import best_fit, decontamination, line_dedup, merkle, passages, pii, probminhash, quality, token_output, toxicity
 from lorespark.llm.common import documents
 
 QUERIES: dict = {}
@@ -85,3 +85,8 @@ def op1_decontamination(spark, sf):
 @query("op8_compact_window_passages")
 def op8_compact_window_passages(spark, sf):
     return passages.repeated_passages(documents(spark, sf))
+
+
+@query("op2_weakly_supervised_pii")
+def op2_weakly_supervised_pii(spark, sf):
+    return pii.personal_data(documents(spark, sf))
