@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import corpus_pipeline
 from lorespark.llm import best_fit, decontamination, line_dedup, merkle, passages, pii, probminhash, quality, token_output, toxicity
 from lorespark.llm.common import documents
@@ -90,3 +91,8 @@ def op8_compact_window_passages(spark, sf):
 @query("op2_weakly_supervised_pii")
 def op2_weakly_supervised_pii(spark, sf):
     return pii.personal_data(documents(spark, sf))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)
