@@ -30,6 +30,6 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents scored below the threshold, with all their columns."""
-    columns = docs.columns
-    scored = with_score(docs, model, ORDERS, fold=True, name="_toxicity_score")
-    return scored.where(F.col("_toxicity_score") < THRESHOLD).select(*[f"`{c}`" for c in columns])
+    # The columns of a document travel in one struct, so none of their names can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return with_score(rows, model, ORDERS, fold=True).where(F.col("score") < THRESHOLD).select("row.*")
