@@ -62,7 +62,7 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
         for frame in batches:
             words = [hashes.of(words_of(t or "")).view(np.int64) for t in frame["text"]]
             kept = [len(w) >= SHORTEST for w in words]
-            yield pd.DataFrame({"item_id": frame["item_id"][kept], "item": [w for w, k in zip(words, kept) if k]})
+            yield pd.DataFrame({"item_id": frame["item_id"][kept], "item": pd.Series([w for w, k in zip(words, kept) if k], dtype=object).to_numpy()})
 
     return benchmark.select("item_id", "text").mapInPandas(run, "item_id long, item array<long>")
 
