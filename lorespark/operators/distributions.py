@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 4096
+RANGES = 512
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
@@ -24,16 +24,11 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    # A logarithmic scale spreads long tails over many ranges; it is monotone, so order is kept.
-    scaled = F.signum("v") * F.log1p(F.abs("v"))
-    bounds = counts.groupBy(*keys).agg(
-        F.min(scaled).alias("low"), F.max(scaled).alias("high"), F.sum("c").alias("n")
-    )
-    cell = F.when(
-        F.col("high") > F.col("low"),
-        F.least(F.floor((scaled - F.col("low")) / (F.col("high") - F.col("low")) * RANGES), F.lit(RANGES - 1)),
-    ).otherwise(F.lit(0))
-    placed = _join(counts, bounds, keys).withColumn("cell", cell.cast("int"))
+    # Ranges are cut at quantiles of the distinct values, so outliers and dense places leave them equally long.
+    cuts = F.array_distinct(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 4 * RANGES))
+    bounds = counts.groupBy(*keys).agg(cuts.alias("cuts"), F.sum("c").alias("n"))
+    cell = F.size(F.filter("cuts", lambda cut: cut < F.col("v")))
+    placed = _join(counts, bounds, keys).withColumn("cell", cell.cast("int")).drop("cuts")
     histogram = placed.groupBy(*keys, "cell").agg(F.sum("c").alias("cell_rows"), F.first("n").alias("n"))
     # One row per range: at most RANGES rows per key reach this window.
     cumulative = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
@@ -45,24 +40,29 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
         ])).alias("w"),
     ).select("*", "w.rank_name", "w.rank").drop("w").filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("until")))
     cells = wanted.select(*keys, "cell").distinct()
-    inside = placed.select(*keys, "cell", "v", "c").join(cells, [*keys, "cell"], "left_semi")
+    inside = _join(placed.select(*keys, "cell", "v", "c"), cells, [*keys, "cell"], "left_semi")
     running = Window.partitionBy(*keys, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("inner_until", F.sum("c").over(running))
     offset = F.col("rank") - F.col("before")
     return (
-        wanted.join(inside, [*keys, "cell"])
+        _join(wanted, inside, [*keys, "cell"])
         .filter((offset < F.col("inner_until")) & (offset >= F.col("inner_until") - F.col("c")))
         .select(*keys, "n", "rank_name", F.col("v").alias("rank_value"))
     )
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Join on null-safe keys; without keys, the other side is one row."""
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; without keys, the other side is one row."""
     if not keys:
         for column in right.columns:
             left = left.withColumn(column, right.select(column).scalar())
         return left
-    return left.join(right, keys)
+    other = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    met = F.lit(True)
+    for key in keys:
+        met = met & F.col(key).eqNullSafe(F.col(f"_right_{key}"))
+    joined = left.join(other, met, how)
+    return joined if how == "left_semi" else joined.drop(*[f"_right_{key}" for key in keys])
 
 
 def linear_percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
@@ -100,6 +100,6 @@ def summarise(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")
     )
     percentiles = linear_percentiles(df, keys, value, {"median": 0.5, "p95": 0.95})
-    joined = moments.join(percentiles, keys, "left") if keys else _join(moments, percentiles, keys)
+    joined = _join(moments, percentiles, keys, "left")
     zeros = [F.coalesce(F.col(name).cast("double"), F.lit(0.0)).alias(name) for name in ("mean", "median", "p95", "min", "max")]
     return joined.select(*keys, "count", *zeros)

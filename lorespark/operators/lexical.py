@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import token_counts_column, tokens_column
-from lorespark.operators.ranking import ranked_topk
-from lorespark.operators.topk_scan import BestRows, merge_topk, no_results, scan
-from lorespark.session import bounded_rows
+from lorespark.operators.topk_scan import BestRows, no_results, scan
 
 # Fixed values of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DEFAULT_CANDIDATES = 200
 TILE_CELLS = 4_000_000
+# (query, term) weights that one pass over the index scores.
+BLOCK_ROWS = 100_000
 
 
 def lexical_index(documents: DataFrame, doc_id: str, text: str, scope: str | None = None) -> DataFrame:
@@ -76,85 +76,80 @@ def query_weights(queries: DataFrame, statistics: DataFrame, query_id: str, text
 
 def bm25_topk(
     index: DataFrame, queries: DataFrame, *, query_id: str, text: str, k: int = DEFAULT_CANDIDATES, scope: str | None = None,
-    broadcast_bound: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(query_id, doc_id, score, bm25_rank): best ``k`` documents of each query.
 
     Term rarity is measured on the whole corpus; a scope only restricts which documents
-    are ranked. Documents without any query token score zero and still fill the list.
+    are ranked (a query without scope ranks those without scope). Documents without any
+    query token score zero and still fill the list, before documents with a negative score.
+
+    Queries go in blocks of about ``block_rows`` (query, term) weights, and each block is
+    one pass over the index with the same ranking: the number of queries changes how
+    often the index is read, never the result. Give a written index for many blocks.
     """
     # The vocabulary is read several times (rarity, its mean, the corpus size): kept, it costs one pass.
     totals = term_totals(index).persist()
-    weights = query_weights(queries, term_statistics(totals), query_id, text, scope)
-    rows = bounded_rows(weights) if broadcast_bound is None else bounded_rows(weights, broadcast_bound)
-    if rows is None:
-        return _join_topk(index, weights, k, scope is not None)
-    totals.unpersist()
-    if not rows:
+    weights = query_weights(queries, term_statistics(totals), query_id, text, scope).persist()
+    try:
+        blocks = max(1, -(-weights.count() // block_rows))
+        own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        parts = []
+        for block in range(blocks):
+            rows = weights.filter(own == block).collect()
+            if rows:
+                parts.append(scan(index, _scorer(rows, k, scope is not None), k, True, "bm25_rank"))
+    finally:
+        weights.unpersist()
+        totals.unpersist()
+    if not parts:
         return no_results(index, k, True, "bm25_rank")
-    return scan(index, _scorer(rows, k, scope is not None), k, True, "bm25_rank")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
 
 
 def _scorer(rows: list, k: int, scoped: bool):
     query_ids = sorted({row["query_id"] for row in rows})
-    terms = sorted({row["term"] for row in rows if row["term"] is not None and row["weight"] != 0.0})
     query_position = {query: n for n, query in enumerate(query_ids)}
-    term_position = {term: n for n, term in enumerate(terms)}
-    matrix = np.zeros((len(terms), len(query_ids)))
+    weighted = sorted((row["term"], query_position[row["query_id"]], row["weight"]) for row in rows if row["term"] is not None and row["weight"] != 0.0)
+    terms = sorted({term for term, _, _ in weighted})
+    # Weights as sparse rows: the queries of term t stand at starts[t] .. starts[t + 1].
+    starts = np.searchsorted(np.array([term for term, _, _ in weighted], dtype=object), np.array(terms, dtype=object)) if terms else np.zeros(0, int)
+    starts = np.append(starts, len(weighted)).astype(np.int64)
+    of_query = np.array([query for _, query, _ in weighted], dtype=np.int64)
+    of_weight = np.array([weight for _, _, weight in weighted])
     scopes = [None] * len(query_ids)
-    mean_length = 1.0
     for row in rows:
         scopes[query_position[row["query_id"]]] = row["scope"]
-        mean_length = row["mean_length"] or 1.0
-        if row["term"] in term_position:
-            matrix[term_position[row["term"]], query_position[row["query_id"]]] = row["weight"]
+    mean_length = rows[0]["mean_length"] or 1.0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = BestRows(len(query_ids), k, True)
         vocabulary = pa.array(terms, pa.string())
-        tile = max(1, TILE_CELLS // max(1, len(terms)))
+        tile = max(1, TILE_CELLS // len(query_ids))
         for batch in batches:
-            for start in range(0, batch.num_rows, tile):
-                part = batch.slice(start, tile)
+            for first in range(0, batch.num_rows, tile):
+                part = batch.slice(first, tile)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 lengths = part.column("length").to_numpy(zero_copy_only=False)
                 counts = part.column("counts")
                 items, owner = counts.flatten(), pc.list_parent_indices(counts).to_numpy(zero_copy_only=False)
                 found = pc.index_in(items.field("term"), value_set=vocabulary)
                 known = found.is_valid().to_numpy(zero_copy_only=False)
-                owner, column = owner[known], found.drop_null().to_numpy(zero_copy_only=False)
+                owner, term = owner[known], found.drop_null().to_numpy(zero_copy_only=False)
                 tf = items.field("tf").to_numpy(zero_copy_only=False)[known]
-                tile_matrix = np.zeros((part.num_rows, len(terms)))
-                tile_matrix[owner, column] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length))
+                saturation = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length))
+                fan = starts[term + 1] - starts[term]
+                place = np.repeat(starts[term] - np.concatenate(([0], np.cumsum(fan)[:-1])), fan) + np.arange(fan.sum()) if len(term) else np.zeros(0, int)
+                cells = np.repeat(owner, fan) * len(query_ids) + of_query[place]
+                scores = np.bincount(cells, np.repeat(saturation, fan) * of_weight[place], part.num_rows * len(query_ids))
                 eligible = None
                 if scoped:
                     own = np.asarray(part.column("scope").to_pylist(), dtype=object)
                     eligible = np.stack([own == wanted for wanted in scopes], axis=1)
-                best.add(tile_matrix @ matrix, ids, eligible)
+                best.add(scores.reshape(part.num_rows, len(query_ids)), ids, eligible)
         yield pa.RecordBatch.from_pandas(best.frame(query_ids), preserve_index=False)
 
     return score
-
-
-def _join_topk(index: DataFrame, weights: DataFrame, k: int, scoped: bool) -> DataFrame:
-    """Same ranking when the queries are too many to ship: a join on the term.
-
-    Adaptive execution splits the partitions of frequent terms. The first ``k`` documents
-    by id are added to every query with a zero score, which is enough to fill its list.
-    """
-    postings = index.select("doc_id", "scope", "length", F.explode("counts").alias("item")).select(
-        "doc_id", F.col("scope").alias("doc_scope"), "length", "item.term", "item.tf")
-    saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    pairs = postings.join(weights.filter("term IS NOT NULL"), "term")
-    if scoped:
-        pairs = pairs.filter(F.col("doc_scope") == F.col("scope"))
-    scored = pairs.select("query_id", "doc_id", (saturation * F.col("weight")).alias("part"))
-    queries = weights.select("query_id", "scope").distinct()
-    if scoped:
-        filler = ranked_topk(index.select("doc_id", "scope"), ["scope"], [F.col("doc_id").asc()], k, "n")
-        fill = queries.join(filler, "scope").select("query_id", "doc_id", F.lit(0.0).alias("part"))
-    else:
-        first = index.select("doc_id").orderBy("doc_id").limit(k).agg(F.collect_list("doc_id").alias("ids"))
-        fill = queries.select("query_id", F.explode(first.scalar()).alias("doc_id"), F.lit(0.0).alias("part"))
-    totals = scored.unionByName(fill).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return merge_topk(totals, k, True, "bm25_rank")

@@ -8,30 +8,29 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import name_key_column
 
 
-def word_spans(words: Column, lengths: list[int]) -> Column:
+def word_spans(words: Column, lengths: Column) -> Column:
     """``array<struct<start, size, phrase>>``: every run of consecutive words of the given sizes."""
+    fitting = F.filter(lengths, lambda size: size <= F.size(words))
+    return F.flatten(F.transform(fitting, lambda size: F.transform(
+        F.sequence(F.lit(0), F.size(words) - size), lambda start: F.struct(
+            start.alias("start"), size.alias("size"), F.array_join(F.slice(words, start + 1, size), "-").alias("phrase")))))
 
-    def runs(size: int) -> Column:
-        starts = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda start: F.struct(
-            start.alias("start"), F.lit(size).alias("size"),
-            F.array_join(F.slice(words, start + 1, F.lit(size)), "-").alias("phrase")))
 
-    return F.flatten(F.array(*[runs(size) for size in lengths]))
-
-
-def mentions(texts: DataFrame, text_id: str, text: str, aliases: DataFrame, max_words: int) -> DataFrame:
+def mentions(texts: DataFrame, text_id: str, text: str, aliases: DataFrame) -> DataFrame:
     """(text_id, start, size, alias_key, target) of the alias mentions of each text.
 
     A text meets an alias through an equal run of words, so the join is an equality on
-    the phrase instead of a containment test between every text and every alias. Repeats
-    of a phrase inside a text travel as one row with their positions.
+    the phrase instead of a containment test between every text and every alias. Only
+    runs as long as some alias are made, whatever the longest alias is. Each run is a row.
     """
+    names = aliases.filter("alias_key <> ''").select("alias_key", "target").distinct()
+    # One number per length of an alias: bounded by the longest name.
+    lengths = names.agg(F.array_sort(F.collect_set(F.size(F.split("alias_key", "-"))))).scalar()
     words = F.split(name_key_column(F.col(text)), "-")
-    spans = texts.select(text_id, words.alias("words")).select(
-        text_id, F.explode(word_spans(F.col("words"), list(range(1, max_words + 1)))).alias("span"))
+    spans = texts.select(text_id, words.alias("words"), lengths.alias("lengths")).select(
+        text_id, F.explode(word_spans(F.col("words"), F.col("lengths"))).alias("span"))
     grouped = spans.select(text_id, "span.start", "span.size", F.col("span.phrase").alias("alias_key")).filter("alias_key <> ''")
-    return grouped.join(aliases.select("alias_key", "target").distinct(), "alias_key")
+    return grouped.join(names, "alias_key")
 
 
 def longest_mentions(found: DataFrame, text_id: str) -> DataFrame:

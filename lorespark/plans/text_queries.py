@@ -69,7 +69,7 @@ m AS (SELECT DISTINCT text_id, target, alias_key FROM t JOIN aliases ON contains
 SELECT text_id, min(target) AS target FROM m GROUP BY text_id HAVING count(*) = 1""")
 def mention_lookup_unique(spark, sf):
     texts = wide_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
-    return mentions.unique_mention(mentions.mentions(texts, "text_id", "text", _aliases(spark, sf), 2), "text_id")
+    return mentions.unique_mention(mentions.mentions(texts, "text_id", "text", _aliases(spark, sf)), "text_id")
 
 
 @query("longest_mention", f"""
@@ -81,7 +81,7 @@ SELECT doc_id, target, count(*) AS mentions, CAST(sum(size) AS BIGINT) AS words
 WHERE NOT (size = 1 AND EXISTS (SELECT 1 FROM m l WHERE l.doc_id = m.doc_id AND l.size = 2 AND l.start IN (m.start, m.start - 1)))
 GROUP BY doc_id, target""")
 def longest_mention(spark, sf):
-    found = mentions.mentions(documents(spark, sf).select("doc_id", "text"), "doc_id", "text", _aliases(spark, sf), 2)
+    found = mentions.mentions(documents(spark, sf).select("doc_id", "text"), "doc_id", "text", _aliases(spark, sf))
     kept = mentions.longest_mentions(found, "doc_id").select("doc_id", "start", "size", "target").distinct()
     return kept.groupBy("doc_id", "target").agg(F.count(F.lit(1)).alias("mentions"), F.sum("size").alias("words"))
 

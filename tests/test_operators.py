@@ -79,6 +79,8 @@ def test_fidelity(spark):
     names = ["Créhelf", "Pierraile", "Maréon", "Vœuil", "Absent", "M. Mime", "Expuls'Organes"]
     df = spark.createDataFrame([(names, answer + " ! Expuls’Organes")], "names array<string>, answer string")
     assert fidelity.unfaithful_names(df).first().unfaithful == ["Maréon", "Vœuil", "Absent"]
+    long = spark.createDataFrame([([str(n) for n in range(31)], "x"), ([], "x")], "names array<string>, answer string")
+    assert [(r.status, r.unfaithful) for r in fidelity.unfaithful_names(long).collect()] == [("not checked", None)] * 2
     text = df.select(fidelity.replacement(F.lit("capacités"), F.lit(9), F.array(F.lit("a"), F.lit("b"))).alias("t")).first().t
     assert text == "D'après les données locales, 9 capacités correspondent à la question ; voici les 2 premiers : a, b."
 
@@ -89,10 +91,26 @@ def test_denials(spark):
     assert [r.a for r in df.select(fidelity.affirmed(F.lit("renard"), F.col("x")).alias("a")).collect()] == [False, False, False, True, False, True]
 
 
+def test_mentions_of_long_names(spark):
+    name = "-".join(f"mot{n}" for n in range(9))
+    found = mentions.mentions(spark.createDataFrame([(1, "voici " + name.replace("-", " ") + " !"), (2, "mot0")], "id int, x string"), "id", "x",
+                              spark.createDataFrame([(name, "Long")], "alias_key string, target string"))
+    assert [(r.id, r.start, r["size"], r.target) for r in found.collect()] == [(1, 1, 9, "Long")]
+
+
+def test_percentiles_keep_null_groups_and_outliers(spark):
+    rows = [(None, float(v)) for v in (5, 7)] + [("a", float(v)) for v in range(3000)] + [("a", 1e300)] + [("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r["count"], r["mean"], r.median, r.p95) for r in distributions.summarise(df, ["g"], "v").filter("g IS NULL OR g = 'b'").collect()}
+    assert got == {None: (2, 6.0, 6.0, pytest.approx(6.9)), "b": (0, 0.0, 0.0, 0.0)}
+    ranks = {r.g: r.p50 for r in distributions.nearest_rank_percentiles(df, ["g"], "v", {"p50": 0.5}).collect()}
+    assert ranks == {None: 5.0, "a": 1500.0}
+
+
 def test_mentions(spark):
     aliases = spark.createDataFrame([("renard", "Renard"), ("renard-de-galar", "Renard de Galar"), ("ours", "Ours")], "alias_key string, target string")
     texts = spark.createDataFrame([(1, "Le Renard de Galar !"), (2, "renard, puis renard de galar"), (3, "tours"), (4, "ours et renard")], "id int, x string")
-    found = mentions.mentions(texts, "id", "x", aliases, 4)
+    found = mentions.mentions(texts, "id", "x", aliases)
     kept = sorted((r.id, r.start, r.target) for r in mentions.longest_mentions(found, "id").collect())
     assert kept == [(1, 1, "Renard de Galar"), (2, 0, "Renard"), (2, 2, "Renard de Galar"), (4, 0, "Ours"), (4, 2, "Renard")]
     assert mentions.unique_mention(found, "id").collect() == []

@@ -37,12 +37,12 @@ def bm25(query, documents):
 
 
 @pytest.mark.parametrize("scoped", [False, True])
-@pytest.mark.parametrize("bound", [None, 1])
-def test_bm25_on_both_plans(spark, scoped, bound):
+@pytest.mark.parametrize("rows", [100_000, 3, 1])
+def test_bm25_in_blocks_of_any_size(spark, scoped, rows):
     corpus = spark.createDataFrame(CORPUS, "n long, lang string, text string")
     queries = spark.createDataFrame(QUERIES, "q long, scope string, text string")
     index = lexical.lexical_index(corpus, "n", "text", "lang")
-    found = lexical.bm25_topk(index, queries, query_id="q", text="text", k=10, scope="scope" if scoped else None, broadcast_bound=bound).collect()
+    found = lexical.bm25_topk(index, queries, query_id="q", text="text", k=10, scope="scope" if scoped else None, block_rows=rows).collect()
     for q, scope, text in QUERIES:
         scores = bm25(text, CORPUS)
         eligible = [n for n, lang, _ in CORPUS if not scoped or lang == scope]
@@ -67,6 +67,18 @@ def test_nearest_on_both_plans(spark, scope, bound):
         assert [r.doc_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.vector_rank)] == expected
 
 
+def test_bm25_orders_negative_scores_and_null_scopes_alike(spark):
+    # "mot" is the whole vocabulary and stands in most documents: its weight is negative, so documents without it come first.
+    corpus = spark.createDataFrame([(0, None, "mot"), (1, "a", "mot mot"), (2, "a", "mot"), (3, None, ""), (4, "a", "")], "n long, lang string, text string")
+    queries = spark.createDataFrame([(1, None, "mot"), (2, "a", "mot")], "q long, scope string, text string")
+    index = lexical.lexical_index(corpus, "n", "text", "lang")
+    for rows in (100_000, 1):
+        found = lexical.bm25_topk(index, queries, query_id="q", text="text", k=2, block_rows=rows).collect()
+        assert {(r.query_id, r.bm25_rank): r.doc_id for r in found} == {(q, n + 1): doc for q in (1, 2) for n, doc in enumerate((3, 4))}
+        scoped = lexical.bm25_topk(index, queries, query_id="q", text="text", k=2, scope="scope", block_rows=rows).collect()
+        assert {(r.query_id, r.bm25_rank): r.doc_id for r in scoped} == {(1, 1): 3, (1, 2): 0, (2, 1): 4, (2, 2): 2}
+
+
 def test_fusion_order_and_ties(spark):
     near = spark.createDataFrame([(1, 10, 0.1, 1), (1, 11, 0.2, 2)], "query_id long, doc_id long, score double, vector_rank int")
     words = spark.createDataFrame([(1, 11, 9.0, 1), (1, 12, 8.0, 2)], "query_id long, doc_id long, score double, bm25_rank int")

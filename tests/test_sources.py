@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.operators.traces import step_totals
-from lorespark.plans import build, guard
+from lorespark.plans import build
 from lorespark.plans.catalogue import Catalogue
 from lorespark.sources import documents, tables
 from lorespark.streaming import traces as stream
@@ -114,17 +114,6 @@ def test_vector_store(spark, tmp_path):
         documents.write_vectors(chunks.withColumn("chunk_id", F.lit("a")), str(tmp_path / "w"))
 
 
-def test_guard(spark):
-    call = lambda operation, question, **arguments: guard.reconcile(spark, operation, question, arguments)
-    fixed = call("search", "Quel est le fossile le plus rapide ?", evolution_stage="final", ability="none", legendary=True)
-    assert fixed == {"best_only": True, "limit": 30, "offset": 0, "sort_by": "speed", "sort_order": "desc", "subgroup": "Fossile"}
-    levels = call("get_moves", "Que apprend Renard après le niveau 20 ?", learning_method="machine")
-    assert (levels.get("min_level"), levels.get("learning_method"), levels.get("error")) in [(21, "level-up", None), (None, None, "incompatible_learning_method")]
-    assert call("get_types", "Les Pokémon de type Feu au niveau 12")["error"].startswith("unsupported")
-    assert call("get_types", "À quoi ressemble Renard ?")["error"] == "documentary_question_requires_search"
-    assert call("search", "génération 4 ou 5")["error"] == "invalid_explicit_constraints"
-
-
 def test_missing_role_is_an_error(spark):
     with pytest.raises(LookupError):
         Catalogue({})["species"]
