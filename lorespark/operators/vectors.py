@@ -5,17 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.operators.topk_scan import SCAN_SCHEMA, BestRows, merge_topk, no_results, scan
-from lorespark.session import bounded_rows
+from lorespark.operators.topk_scan import BestRows, no_results, scan
 
 DEFAULT_CANDIDATES = 100
 QUERY_BOUND = 2_000
-SHARD_ROWS = 50_000
 TILE_ROWS = 8_192
 
 
@@ -42,16 +39,28 @@ def nearest(
     """(query_id, doc_id, score, vector_rank): ``k`` smallest cosine distances per query.
 
     ``corpus`` holds (doc_id, vector[, scope]) and ``queries`` (query_id, vector[, scope]).
-    With ``scope``, only documents of the query's scope are ranked.
+    With ``scope``, only documents of the query's scope are ranked. Queries go in blocks of
+    about ``query_bound``, each one pass over the vectors: their number never changes the plan.
     """
     columns = ["scope"] if scope else []
     corpus = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "vector", *columns)
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector", *columns)
-    rows = bounded_rows(queries, query_bound)
-    if rows is None:
-        return _sharded(corpus, queries, k, scope, query_bound)
-    if not rows:
+    blocks = max(1, -(-queries.count() // query_bound))
+    parts = []
+    for block in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        if rows:
+            parts.append(_scan(corpus, rows, k, scope))
+    if not parts:
         return no_results(corpus, k, False, "vector_rank")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _scan(corpus: DataFrame, rows: list, k: int, scope: bool) -> DataFrame:
+    """The nearest vectors of one block of queries."""
     rows.sort(key=lambda row: row["query_id"])
     query_ids = [row["query_id"] for row in rows]
     wanted = _unit_rows(np.asarray([row["vector"] for row in rows], dtype=np.float64)).T
@@ -73,39 +82,6 @@ def nearest(
     return scan(corpus, score, k, False, "vector_rank")
 
 
-def _sharded(corpus: DataFrame, queries: DataFrame, k: int, scope: bool, query_bound: int) -> DataFrame:
-    """Same result when the queries are too many to ship: blocks of queries meet shards of vectors.
-
-    Both sides are cut by hash into pieces of bounded size; each task receives one block
-    and one shard and keeps its best rows only.
-    """
-    blocks = max(1, -(-queries.count() * 2 // query_bound))
-    shards = max(1, -(-corpus.count() // SHARD_ROWS))
-    left = corpus.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def score(_key, documents: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if documents.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []}).astype(
-                {"query_id": "int64", "doc_id": "int64", "score": "float64"})
-        best = BestRows(len(asked), k, False)
-        wanted = _unit_rows(np.stack(asked["vector"].to_numpy()).astype(np.float64)).T
-        for start in range(0, len(documents), TILE_ROWS):
-            part = documents.iloc[start:start + TILE_ROWS]
-            eligible = None
-            if scope:
-                eligible = part["scope"].to_numpy()[:, None] == asked["scope"].to_numpy()[None, :]
-            vectors = _unit_rows(np.stack(part["vector"].to_numpy()).astype(np.float64))
-            best.add(1.0 - vectors @ wanted, part["doc_id"].to_numpy(), eligible)
-        return best.frame(asked["query_id"].tolist())
-
-    keys = ["block", "shard"]
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, SCAN_SCHEMA)
-    return merge_topk(partial, k, False, "vector_rank")
-
-
 def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, vector): mean vector of each label, aggregated component by component."""
     parts = vectors.select(F.col(label).alias("label"), F.posexplode(vector).alias("position", "x"))

@@ -15,17 +15,14 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import name_key, name_key_column
 from lorespark.operators.labels import label_view, language_ids, names_by_object
 from lorespark.plans.vocabulary import EVOLUTION_STAGES, MOVE_ALIASES, SOURCE_TABLES
-from lorespark.session import bounded_rows
 
 
 # Label dimensions up to this size are read once and matched on the driver.
-DIMENSION_BOUND = 10_000
 
 
 class Catalogue:
     def __init__(self, tables: dict[str, DataFrame]):
         self._tables = tables
-        self._dimensions: dict[str, list | None] = {}
 
     @classmethod
     def from_source(cls, tables: dict[str, DataFrame]) -> "Catalogue":
@@ -109,20 +106,10 @@ class Catalogue:
         return _only(self.move_aliases().filter(F.col("alias_key") == name_key(wanted)), ["move_id"], "move", name)
 
     def _lookup(self, role: str, key: str, columns: list[str], value: str, by_name: bool):
-        """The single row of a label dimension that a value designates.
-
-        A dimension proven small is read once per catalogue, that is once per state of the
-        data; a larger one is filtered by Spark.
-        """
-        if role not in self._dimensions:
-            self._dimensions[role] = bounded_rows(self[role], DIMENSION_BOUND)
-        rows = self._dimensions[role]
+        """The single row of a label dimension that a value designates."""
         wanted = name_key(value) if by_name else value
-        if rows is None:
-            cells = [name_key_column(F.col(c)) if by_name else F.col(c) for c in columns]
-            return _only(self[role].filter(F.array_contains(F.array(*cells), wanted)), [key], role, value)
-        matching = {row[key]: row for row in rows if wanted in [name_key(row[c]) if by_name else row[c] for c in columns]}
-        return _one(list(matching.values()), role, value)
+        cells = [name_key_column(F.col(c)) if by_name else F.col(c) for c in columns]
+        return _only(self[role].filter(F.array_contains(F.array(*cells), wanted)), [key], role, value)
 
     def resolve_type(self, value):
         if not isinstance(value, str) or not value.strip():

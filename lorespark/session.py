@@ -1,15 +1,11 @@
-"""Session helpers: local defaults, checkpoint folder, size-checked broadcasts."""
+"""Session helpers: local defaults and readers."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-# A relation may be shipped to every task only below this many rows.
-BROADCAST_ROW_BOUND = 100_000
-
 
 def local_session(app: str = "lorespark", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and single-machine runs; on a cluster the caller's session is used as it is."""
@@ -29,26 +25,6 @@ def local_session(app: str = "lorespark", cores: str | int = "*", shuffle_partit
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = tempfile.mkdtemp(prefix="lorespark-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def bounded_rows(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> list | None:
-    """Rows of a relation proven to hold at most ``bound`` rows, otherwise ``None``."""
-    rows = df.limit(bound + 1).collect()
-    return rows if len(rows) <= bound else None
-
-
 def scalar_of(df: DataFrame, expression: Column) -> Column:
     """One aggregate of ``df`` as a scalar subquery column."""
     return df.agg(expression.alias("scalar_value")).scalar()

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import re
-from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,17 +41,9 @@ def markdown_pages(pages: DataFrame) -> DataFrame:
 
 
 def write_markdown(report: DataFrame, folder: str) -> None:
-    """One ``.md`` file per valid page, written beside and renamed, so a retried task is harmless."""
-    def save(rows: Iterator[Row]) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            target = os.path.join(folder, f"{row['file_name']}.md")
-            partial = f"{target}.{os.getpid()}.part"
-            with open(partial, "w", encoding="utf-8") as handle:
-                handle.write(row["cleaned"])
-            os.replace(partial, target)
-
-    report.filter("status <> 'ERROR'").select("file_name", "cleaned").foreachPartition(save)
+    """One text file per valid page, under ``file_name=<name>``, through Spark's committed writer into shared storage."""
+    valid = report.filter("status <> 'ERROR'").select("file_name", F.col("cleaned").alias("value"))
+    valid.repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(folder)
 
 
 def metadata_value(text: Column, labels: list[str]) -> Column:
@@ -64,8 +54,10 @@ def metadata_value(text: Column, labels: list[str]) -> Column:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty Markdown files with their number, slug, title and header values."""
-    rows = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("source_file"),
+    own = F.regexp_extract("_metadata.file_path", r"/file_name=([^/]+)/[^/]+$", 1)
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        F.when(own != "", F.concat(F.url_decode(own), F.lit(".md"))).otherwise(
+            F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1)).alias("source_file"),
         F.regexp_replace("value", r"^\s+|\s+$", "").alias("text")).filter("text <> ''")
     stem = F.regexp_replace("source_file", r"\.[^.]*$", "")
     slug = F.when(stem.rlike(r"^\d{4}_.+$"), F.regexp_extract(stem, r"^\d{4}_(.+)$", 1)).otherwise(stem)

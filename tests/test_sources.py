@@ -79,7 +79,7 @@ def test_pages_and_markdown(spark, tmp_path):
     report = documents.markdown_pages(pages)
     assert report.first().status == "WARNING"
     documents.write_markdown(report, str(tmp_path / "out"))
-    row = documents.read_markdown(spark, str(tmp_path / "out" / "*.md")).first()
+    row = documents.read_markdown(spark, str(tmp_path / "out")).first()
     assert (row.source_file, row.national_number, row.slug, row.title) == ("0001_bulbi.md", 1, "bulbi", "Bulbi")
     assert row.text.startswith("# Bulbi\n\n> Source : Poképédia\n> Page ID : 3")
 
