@@ -149,12 +149,14 @@ def _rarest_first(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataF
     ordered = items.join(counts, "s").groupBy("node", "component", "size").agg(
         F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
     prefix = F.slice("o", F.lit(1), (F.col("size") - F.ceil(F.col("size") * similarity) + 1).cast("int"))
-    firsts = written(ordered.select("node", "component", "size", F.posexplode(prefix).alias("at", "f")).where("f.df > 1").select(
-        "node", "component", "size", "at", "f.s"))
-    left, right = (firsts.select("s", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "component", "size", "at")]) for n in "ab")
+    firsts = written(ordered.select("node", "component", "size", prefix.alias("p"), F.posexplode(prefix).alias("at", "f")).where("f.df > 1").select(
+        "node", "component", "size", "at", "f.s", F.transform(F.slice("p", F.lit(1), F.col("at")), lambda x: x["s"]).alias("before")))
+    left, right = (firsts.select("s", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "component", "size", "at", "before")]) for n in "ab")
     needed = (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6
     possible = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= needed
-    return left.join(right, "s").where("node_a > node_b AND component_a <> component_b").where(possible).select(
+    # A pair meets once, at its first common shingle.
+    first = ~F.arrays_overlap("before_a", "before_b")
+    return left.join(right, "s").where("node_a > node_b AND component_a <> component_b").where(possible & first).select(
         F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
