@@ -144,3 +144,25 @@ def test_repeated_passages_and_clean_documents(spark):
     assert got == {(0, 100, 170, 0), (1, 0, 70, 0), (2, 30, 100, 0), (7, 0, 60, 7), (8, 0, 60, 7)}
     assert {r["doc_id"] for r in passages.repeated_passages(awkward(spark)).collect()} == {3, 4}
     assert passages.repeated_passages(frame(spark, [])).count() == 0
+
+
+def test_passages_of_documents_that_are_not_the_ends_of_their_keys(spark):
+    rng = random.Random(8)
+    texts, want = [], set()
+    for _ in range(12):
+        one = prose(rng, 50).split()
+        other = list(one)
+        for at in (16, 33):  # a second variant, too far from the first to be its near copy
+            other[at] = "drifted" + str(rng.randrange(10 ** 6))
+        for at, body in enumerate((one, other, other, one)):
+            if at in (1, 2):
+                want.add(len(texts))
+            texts.append(f"own{len(texts)} " + " ".join(body))
+    docs = frame(spark, texts)
+    paired = passages.PAIRED_KEY
+    try:
+        for passages.PAIRED_KEY in (paired, 2):  # keys paired at once, then by stars and what they leave
+            got = {r["doc_id"]: r["first_doc_id"] for r in passages.repeated_passages(docs).collect() if r["end_word"] - r["start_word"] >= 50}
+            assert want <= set(got) and all(got[k] == k - (k % 4 == 2) for k in want)
+    finally:
+        passages.PAIRED_KEY = paired
