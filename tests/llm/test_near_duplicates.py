@@ -166,3 +166,21 @@ def test_passages_of_documents_that_are_not_the_ends_of_their_keys(spark):
             assert want <= set(got) and all(got[k] == k - (k % 4 == 2) for k in want)
     finally:
         passages.PAIRED_KEY = paired
+
+
+def test_passages_go_on_behind_inserted_words():
+    rng = np.random.RandomState(3)
+    for cuts in ((30,), (33, 66)):
+        a = rng.randint(1, 2 ** 62, 60 if len(cuts) == 1 else 100).astype(np.uint64)
+        b = np.insert(a, cuts, rng.randint(1, 2 ** 62, len(cuts)).astype(np.uint64))
+        left, right = (rng.randint(1, 2 ** 62, 40).astype(np.uint64) for _ in "ab")
+        assert passages.near_passages(np.concatenate([left, a]), np.concatenate([b, right]), 50, 0.8) == [(40, 40 + len(a), 0, len(b))]
+        noise = np.concatenate([np.concatenate([a[k:k + 5], left[k:k + 1]]) for k in range(0, 20, 2)])  # many short chains stay open
+        got = passages.near_passages(a, np.concatenate([noise, b]), 50, 0.8)
+        assert (0, len(a), len(noise), len(noise) + len(b)) in got
+    same = np.full(300, 7, dtype=np.uint64)
+    held, passages.HITS_AT_ONCE = passages.HITS_AT_ONCE, 1000
+    try:
+        assert passages.common_shifts(same, same[:200]) == list(range(-195, 296))
+    finally:
+        passages.HITS_AT_ONCE = held
