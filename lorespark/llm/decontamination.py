@@ -1,14 +1,20 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a fixed mask over twelve neighbouring words: the hash of a place covers the words under the ones and ignores the
-others, so a changed word between them does not hide a match. Every place of every text is hashed under every mask. A Bloom
-filter of the benchmark's hashes (a fixed size) drops the places that cannot match inside the task that read them; what is
-left meets the benchmark in an equality join on (mask, hash). Each hit names a diagonal, a shift between a document and an
-item. Along it the words are compared one by one: an overlap counts if a run with at least four equal words in five has
-``LEAST`` equal words, or if four in five words of the whole item are equal.
-
-Words are compared in lower case without punctuation. Items of fewer than twelve words use a full mask of their own length;
-items of fewer than ``SHORTEST`` words are no evidence and match nothing.
+A seed is a fixed mask over neighbouring words: the hash of a place covers the words under the ones and ignores the others, so
+a changed word between them does not hide a match. Every place of every text is hashed under every mask. A Bloom filter of the
+benchmark's hashes (a fixed size) drops the places that cannot match inside the task that read them; what is left meets the
+benchmark in an equality join on (mask, hash). Each hit names a diagonal, a shift between a document and an item. Along it
+the words are compared one by one: an overlap counts if a run with at least four equal words in five has ``LEAST`` equal
+words, or if four in five words of the whole item are equal.
+
+The masks leave no such overlap without a hit. Any two of ten neighbouring words lie under the zeros of one of ``MASKS``, so ten
+words with at most two changed ones have a hit, and every overlap of an item of ten words or more has such ten words (twelve
+equal words of a run come before its third unequal one; in a whole item of q >= 2 disjoint tens at most 2 q + 1 words differ), but
+for items of 15 to 17 words with three changed ones in the middle that all their tens share: there the words before and
+behind are a mask of their own. Items of fewer than ten words allow one changed word and are cut into three parts, of which
+two stand unchanged. Seeds may reach over the ends of a document; words that are missing there count as changed.
+
+Words are compared in lower case without punctuation. Items of fewer than ``SHORTEST`` words are no evidence and match nothing.
 
 Defined results: null and empty texts and items match nothing; equal items each match; rows that share a ``doc_id`` are one
 document (the best overlap counts); a row without ``doc_id`` is reported under a null id.
@@ -23,7 +29,8 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.common import WordHashes, mix, texts, words_of, written
 
-MASKS = ("111010010111", "110110101011", "101101110101")
+MASKS = ("0010111100", "1001001011", "0011000111", "1110001100", "1100110010", "0101110001")
+WIDEST = 17  # words of the longest mask
 SHORTEST = 5
 LEAST = 12
 SHARE = 0.8
@@ -44,9 +51,16 @@ def masked_hashes(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(value, number)
 
 
-def short_masks(lengths: list[int]) -> list[str]:
-    """Full masks for the item lengths that are shorter than a seed."""
-    return ["1" * n for n in sorted({n for n in lengths if SHORTEST <= n < len(MASKS[0])})]
+def item_masks(lengths: list[int]) -> list[str]:
+    """Masks for the item lengths that ``MASKS`` do not cover; they span whole items."""
+    masks = []
+    for n in sorted(set(lengths)):
+        if SHORTEST <= n < len(MASKS[0]):
+            cuts = [0, (n + 2) // 3, (n + 2) // 3 + (n + 1) // 3, n]
+            masks += ["".join("0" if cuts[k] <= at < cuts[k + 1] else "1" for at in range(n)) for k in range(3)]
+        elif 15 <= n <= WIDEST:
+            masks.append("1" * (n - 10) + "0" * (20 - n) + "1" * (n - 10))
+    return masks
 
 
 def _bloom_places(values: np.ndarray) -> list[np.ndarray]:
@@ -75,7 +89,7 @@ def item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
             for item_id, words in zip(frame["item_id"], frame["item"]):
                 words = np.asarray(words).view(np.uint64)
                 for number, mask in enumerate(masks):
-                    if len(mask) == len(MASKS[0]) or len(mask) == len(words):
+                    if number < len(MASKS) or len(mask) == len(words):
                         found = masked_hashes(words, mask, number).view(np.int64)
                         yield pd.DataFrame({"mask": number, "hash": found, "item_id": item_id, "item_at": np.arange(len(found))})
 
@@ -106,7 +120,7 @@ def document_hits(docs: DataFrame, masks: list[str], bloom: np.ndarray) -> DataF
         return at
 
     def run(batches):
-        hashes, gap = WordHashes(), np.zeros(len(MASKS[0]), dtype=np.uint64)
+        hashes, gap = WordHashes(), np.zeros(WIDEST, dtype=np.uint64)
         for frame in batches:
             held, size, first = [], 0, 0
             for at, text in enumerate(frame["text"]):
@@ -114,15 +128,16 @@ def document_hits(docs: DataFrame, masks: list[str], bloom: np.ndarray) -> DataF
                 size += len(held[-1])
                 if size < CHUNK and at < len(frame) - 1:
                     continue
-                starts = np.cumsum([0] + [len(w) + len(gap) for w in held])
-                words = np.concatenate([part for w in held for part in (w, gap)])
+                starts = len(gap) + np.cumsum([0] + [len(w) + len(gap) for w in held])
+                words = np.concatenate([gap, *[part for w in held for part in (w, gap)]])
                 hits: list[list] = [[] for _ in held]
                 for number, mask in enumerate(masks):
                     values = masked_hashes(words, mask, number)
                     for place in passing(values):
-                        owner = int(np.searchsorted(starts, place, side="right")) - 1
+                        # A mask is no longer than a gap: it touches the words of one document at most.
+                        owner = int(np.searchsorted(starts, place + len(mask) - 1, side="right")) - 1
                         inside = int(place - starts[owner])
-                        if inside + len(mask) <= len(held[owner]):
+                        if owner >= 0 and inside < len(held[owner]):
                             hits[owner].append({"mask": number, "at": inside, "hash": int(values[place].view(np.int64))})
                 kept = [k for k, h in enumerate(hits) if h]
                 if kept:
@@ -138,9 +153,9 @@ def document_hits(docs: DataFrame, masks: list[str], bloom: np.ndarray) -> DataF
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, equal words of the best diagonal, of its best run, and words of the item, per verified overlap."""
     items = written(benchmark_items(benchmark))
-    # At most one number per length below the seed's: a fixed size.
-    lengths = items.select(F.size("item").alias("n")).where(F.col("n") < len(MASKS[0])).distinct().collect()
-    masks = [*MASKS, *short_masks([r["n"] for r in lengths])]
+    # At most one number per length up to the longest mask's: a fixed size.
+    lengths = items.select(F.size("item").alias("n")).where(F.col("n") <= WIDEST).distinct().collect()
+    masks = [*MASKS, *item_masks([r["n"] for r in lengths])]
     seeds = written(item_seeds(items, masks))
     found = written(document_hits(docs, masks, bloom_filter(seeds)))
     hits = found.select("doc_id", "row_key", F.explode("hits").alias("hit")).select(

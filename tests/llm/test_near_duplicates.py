@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -184,3 +185,49 @@ def test_passages_go_on_behind_inserted_words():
         assert passages.common_shifts(same, same[:200]) == list(range(-195, 296))
     finally:
         passages.HITS_AT_ONCE = held
+
+
+def _seed_hits(n, equal):
+    """Whether some mask has all its ones on equal words of an item of ``n`` words."""
+    for mask in [*decontamination.MASKS, *(m for m in decontamination.item_masks([n]) if len(m) == n)]:
+        ones = [k for k, bit in enumerate(mask) if bit == "1"]
+        if any(all(equal[at + k] for k in ones) for at in range(n - len(mask) + 1)):
+            return True
+    return False
+
+
+def test_seeds_cover_every_accepted_pattern():
+    for n in range(decontamination.SHORTEST, 26):
+        for gone in itertools.combinations(range(n), n - -(-4 * n // 5)):
+            equal = [k not in gone for k in range(n)]
+            assert _seed_hits(n, equal), (n, gone)
+    rng = random.Random(9)
+    for _ in range(3000):
+        n = rng.randrange(26, 120)
+        equal = [True] * n
+        for at in rng.sample(range(n), n // 5):
+            equal[at] = False
+        assert _seed_hits(n, equal)
+    for unequal in (0, 1, 2):  # twelve equal words of a run, in a long item that is otherwise different
+        for at in itertools.combinations(range(12 + unequal), unequal):
+            assert _seed_hits(60, [False] * 20 + [k not in at for k in range(12 + unequal)] + [False] * (28 - unequal))
+
+
+def test_overlaps_of_items_with_a_fifth_of_their_words_changed(spark):
+    rng = random.Random(10)
+    items, texts, want = [], [], {}
+    for n in (5, 6, 7, 8, 9, 10, 11, 12, 14, 15, 15, 16, 17, 18, 19, 20, 25):
+        item = prose(rng, n).split()
+        changed_words = list(item)
+        places = rng.sample(range(n), n // 5) if len(items) != 9 else (5, 7, 9)
+        for at in places:
+            changed_words[at] = f"new{n}x{at}"
+        want[len(texts), len(items)] = n - len(places)
+        texts.append(prose(rng, 30) + " " + " ".join(changed_words) + " " + prose(rng, 30))
+        want[len(texts), len(items)] = n - n // 5
+        texts.append(" ".join(item[n // 5:]))  # begins inside the item
+        want[len(texts), len(items)] = n - n // 5
+        texts.append(prose(rng, 9) + " " + " ".join(item[:n - n // 5]))
+        items.append(" ".join(item))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["equal_words"] for r in decontamination.overlaps(frame(spark, texts).coalesce(1), benchmark).collect()} == want
