@@ -231,3 +231,12 @@ def test_overlaps_of_items_with_a_fifth_of_their_words_changed(spark):
         items.append(" ".join(item))
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]): r["equal_words"] for r in decontamination.overlaps(frame(spark, texts).coalesce(1), benchmark).collect()} == want
+
+
+def test_report_of_kept_lines(spark):
+    docs = frame(spark, ["first line of some length", "another line of some length\nfirst line of some lengtH", "first line of some length"])
+    rows = {r["doc_id"]: r for r in line_dedup.line_report(docs).collect()}
+    got = {k: [(x["at"], x["n_links"], x["kept"]) for x in r["class_lines"]] for k, r in rows.items()}
+    assert got == {0: [(0, 1, True)], 1: [(1, 1, False)], 2: [(0, 1, False)]}
+    assert {k: r["n_class_links"] for k, r in rows.items()} == {0: 1, 1: 1, 2: 1}
+    assert len({x["class_id"] for r in rows.values() for x in r["class_lines"]}) == 1
