@@ -240,3 +240,16 @@ def test_report_of_kept_lines(spark):
     assert got == {0: [(0, 1, True)], 1: [(1, 1, False)], 2: [(0, 1, False)]}
     assert {k: r["n_class_links"] for k, r in rows.items()} == {0: 1, 1: 1, 2: 1}
     assert len({x["class_id"] for r in rows.values() for x in r["class_lines"]}) == 1
+
+
+def test_report_of_short_lines(spark):
+    docs = frame(spark, ["first line of some length\nshort\nalone", "another line of some length\nfirst line of some lengtH\n \nshort",
+                         "first line of some length\n\n ", "short"])
+    rows = {r["doc_id"]: r for r in line_dedup.line_report(docs).collect()}
+    got = {k: [(x["at"], x["n_links"], x["kept"], x["short"]) for x in r["class_lines"]] for k, r in rows.items()}
+    assert got == {0: [(0, 1, True, False), (1, 0, True, True)], 1: [(1, 1, False, False), (3, 0, False, True)], 2: [(0, 1, False, False)],
+                   3: [(0, 0, False, True)]}
+    assert {k: r["n_class_links"] for k, r in rows.items()} == {0: 1, 1: 1, 2: 1, 3: 0}
+    ids = {x["class_id"] for r in rows.values() for x in r["class_lines"] if not x["short"]}
+    short = {x["class_id"] for r in rows.values() for x in r["class_lines"] if x["short"]}
+    assert len(ids) == len(short) == 1 and ids != short
