@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-import corpus_pipeline
-from lorespark.llm import best_fit, decontamination, line_dedup, merkle, passages, pii, probminhash, quality, token_output, toxicity
+from lorespark.llm import best_fit, centroid_filter, decontamination, line_dedup, merkle, passages, pii, probminhash, quality, token_output, toxicity
 from lorespark.llm.common import documents
 
 QUERIES: dict = {}
@@ -93,6 +92,30 @@ def op2_weakly_supervised_pii(spark, sf):
     return pii.personal_data(documents(spark, sf))
 
 
+def _clusters_sql(k: int = 8, rounds: int = 10, seed: int = 3, dimension: int = 64, scale: int = 1024) -> str:
+    """Plain Lloyd rounds: every vector is measured against every centroid."""
+    gap = "list_sum(list_transform(list_zip(v.u, c.u), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = [f"""kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS u FROM embeddings
+    WHERE len(embedding) = {dimension} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS cluster, u FROM kept ORDER BY sha256('{seed}:' || vec_id) LIMIT {k})"]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT v.vec_id, min({{'d': {gap}, 'c': c.cluster}}) AS best FROM kept v CROSS JOIN c{n} c GROUP BY v.vec_id)")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.u, c.u) AS u FROM c{n} c LEFT JOIN (
+    SELECT cluster, list((s - ((s % n + n) % n)) // n ORDER BY place) AS u FROM (
+        SELECT best.c AS cluster, place, sum(u[place])::BIGINT AS s, count(*) AS n FROM a{n} JOIN kept USING (vec_id) CROSS JOIN (SELECT unnest(range(1, {dimension + 1})) AS place) GROUP BY 1, 2) GROUP BY cluster) m ON m.cluster = c.cluster)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia,
+    sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.u, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.cluster = best.c"""
+
+
+@query("op11_centroid_clusters", _clusters_sql())
+def op11_centroid_clusters(spark, sf):
+    # The number of measured centroids depends on the axes and has no twin.
+    return centroid_filter.centroid_clusters(spark.read.parquet(f"{sf}/embeddings.parquet")).drop("n_measured")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
