@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lorespark.llm import best_fit, centroid_filter, decontamination, line_dedup, merkle, passages, pii, probminhash, quality, token_output, toxicity
+from lorespark.llm import best_fit, centroid_filter, decontamination, line_dedup, merkle, passages, pii, probminhash, quality, spelling, token_output, toxicity
 from lorespark.llm.common import documents
 
 QUERIES: dict = {}
@@ -116,6 +116,30 @@ def op11_centroid_clusters(spark, sf):
     return centroid_filter.centroid_clusters(spark.read.parquet(f"{sf}/embeddings.parquet")).drop("n_measured")
 
 
+SPELLING_SQL = r"""
+WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce([b] || [0, 0, 0, 0, 0, 0, 0, 0], lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) AS v
+    FROM range(256) r(b))),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+    WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (SELECT run, n, xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT),
+    lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1])), 4294967295) AS code FROM runs, crc_table),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN code % 31 = 0 THEN substr(run, 1, (code % length(run))::INT) || substr(run, (code % length(run))::INT + 2) ELSE run END AS word, n FROM coded)
+    WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+gaps AS (SELECT word, n, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+met AS (SELECT x.word, y.word AS near, y.n FROM gaps x JOIN gaps y ON x.a = y.a AND x.b = y.b AND x.word <> y.word UNION
+    SELECT x.word, y.word, y.n FROM gaps x JOIN words y ON x.a || x.b = y.word UNION SELECT y.word, x.word, x.n FROM gaps x JOIN words y ON x.a || x.b = y.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, {'n': -n, 'w': encode(near)}) AS near, max(n) AS near_n FROM met GROUP BY word),
+forms AS (SELECT w.word, CASE WHEN near_n >= 10 * w.n THEN near END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chains(word, last, depth) AS (SELECT word, word, 0 FROM forms UNION ALL SELECT c.word, f.form, depth + 1 FROM chains c JOIN forms f ON f.word = c.last WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(last, depth) AS root FROM chains GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)"""
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
+def op13_spelling_variants(spark, sf):
+    return spelling.spelling_variants(documents(spark, sf))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
