@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lorespark.llm import best_fit, centroid_filter, decontamination, line_dedup, merkle, passages, pii, probminhash, quality, spelling, token_output, toxicity
+from lorespark.llm import best_fit, centroid_filter, decontamination, line_dedup, merkle, passages, pii, probminhash, quality, quality_rules, spelling, token_output, toxicity
 from lorespark.llm.common import documents
 
 QUERIES: dict = {}
@@ -116,6 +116,77 @@ def op11_centroid_clusters(spark, sf):
     return centroid_filter.centroid_clusters(spark.read.parquet(f"{sf}/embeddings.parquet")).drop("n_measured")
 
 
+def _rules_sql() -> str:
+    """The same estimates as chained views: a state is one row per group with means ``m<i>`` and inverse factor ``v<i><j>``."""
+    p, scale, rules = 6, 512, quality_rules
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    sums = "count(*) AS n, " + ", ".join([f"sum(z[{i + 1}]) AS s{i}" for i in range(p)] + [f"sum(z[{i + 1}] * z[{j + 1}]) AS q{i}{j}" for i, j in pairs])
+    totals = "sum(n) AS n, " + ", ".join([f"sum(s{i}) AS s{i}" for i in range(p)] + [f"sum(q{i}{j}) AS q{i}{j}" for i, j in pairs])
+    turned = ["(" + " + ".join(f"v{i}{j} * (z[{j + 1}] - m{j})" for j in range(i + 1)) + ")" for i in range(p)]
+    views = []
+
+    def distances(name, state):
+        views.append(f"{name} AS MATERIALIZED (SELECT r.*, {' + '.join(f'{t} * {t}' for t in turned)} AS distance FROM judged r JOIN {state} USING (lang, source))")
+
+    def estimate(name, source, factor):
+        cells = [f"(n * {factor!r} * (n::HUGEINT * q{i}{j} - s{i}::HUGEINT * s{j})::DOUBLE / (n * n::DOUBLE) + {20.0 * (0.1 * scale) ** 2 if i == j else 0.0!r}) / (n + 20.0)"
+                 f" + {(rules.FLOOR[i] * scale) ** 2 if i == j else 0.0!r} AS c{i}{j}" for i, j in pairs]
+        views.append(f"{name}_0 AS (SELECT lang, source, {', '.join(f's{i} / n AS m{i}' for i in range(p))}, {', '.join(cells)} FROM {source})")
+        step = 0
+        for j in range(p):
+            inner = "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
+            views.append(f"{name}_{step + 1} AS (SELECT *, sqrt(c{j}{j}{inner}) AS l{j}{j} FROM {name}_{step})")
+            below = "".join(f", (c{i}{j}{''.join(f' - l{i}{k} * l{j}{k}' for k in range(j))}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, p))
+            views.append(f"{name}_{step + 2} AS (SELECT *{below} FROM {name}_{step + 1})")
+            step += 2
+        for i in range(p):
+            row = "".join(f", -({' + '.join(f'l{i}{k} * v{k}{j}' for k in range(j, i))}) / l{i}{i} AS v{i}{j}" for j in range(i)) + f", 1.0::DOUBLE / l{i}{i} AS v{i}{i}"
+            views.append(f"{name}_{step + 1} AS (SELECT *{row} FROM {name}_{step})")
+            step += 1
+        views.append(f"{name} AS MATERIALIZED (SELECT * FROM {name}_{step})")
+
+    views.append("""own AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+worded AS MATERIALIZED (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM own),
+spots AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM worded)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM spots) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT k) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS k FROM twice) GROUP BY rid),
+counted AS MATERIALIZED (SELECT rid, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(ls) AS n_lines, length(text) - length(regexp_replace(text, '\\p{Lu}+', '', 'g')) AS caps, length(text) - length(regexp_replace(text, '\\p{L}+', '', 'g')) AS letters FROM worded LEFT JOIN covered USING (rid)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+judged AS MATERIALIZED (SELECT rid, lang, source, list_transform([ln(word_chars / n_words), asin(sqrt(n_symbols / word_chars)), asin(sqrt(n_repeat_words / n_words)), asin(sqrt(n_dup_lines / n_lines)),
+    asin(sqrt(caps / word_chars)), asin(sqrt(greatest(word_chars - letters - n_symbols, 0) / word_chars))], lambda v: round(v * 512)::BIGINT) AS z FROM based WHERE NOT base_failed),
+ranks AS (SELECT lang, source, i, v, (row_number() OVER (PARTITION BY lang, source, i ORDER BY v))::DOUBLE AS r, count(*) OVER (PARTITION BY lang, source, i) AS n
+    FROM (SELECT lang, source, unnest(range(6)) AS i, unnest(z) AS v FROM judged)),
+quartiles AS (SELECT lang, source, i, min(v) FILTER (r >= n * 0.5) AS med, (min(v) FILTER (r >= n * 0.75) - min(v) FILTER (r >= n * 0.25)) / 1.349 AS spread FROM ranks GROUP BY ALL)""")
+    floors = "[" + ", ".join(repr((f * scale) ** 2) for f in rules.FLOOR) + "]"
+    views.append("start AS MATERIALIZED (SELECT lang, source, " + ", ".join(
+        [f"max(med) FILTER (i = {i})::DOUBLE AS m{i}" for i in range(p)] +
+        [f"1.0::DOUBLE / max(sqrt(spread * spread + {floors}[i + 1])) FILTER (i = {i}) AS v{i}{j}" if i == j else f"0.0::DOUBLE AS v{i}{j}" for i, j in pairs]) + " FROM quartiles GROUP BY ALL)")
+    state = "start"
+    for n in range(rules.STEPS):
+        distances(f"d{n}", state)
+        views.append(f"b{n} AS (SELECT lang, source, floor(16 * log2(1 + 64 * distance)) AS bin, {sums} FROM d{n} GROUP BY ALL)")
+        views.append(f"""h{n} AS (SELECT lang, source, {totals} FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source ORDER BY bin) - n AS below, sum(n) OVER (PARTITION BY lang, source) AS whole FROM b{n})
+    WHERE below < whole * 0.6 GROUP BY ALL)""")
+        state = f"e{n}"
+        estimate(state, f"h{n}", rules.consistency(0.6))
+    distances("inside", state)
+    views.append(f"weighed AS (SELECT lang, source, {sums} FROM inside WHERE distance <= {rules.chi_quantile(0.975, p)!r} GROUP BY ALL)")
+    estimate("f", "weighed", rules.consistency(0.975))
+    names = ", ".join(["lang", "source"] + [f"m{i}" for i in range(p)] + [f"v{i}{j}" for i, j in pairs])
+    views.append(f"final AS MATERIALIZED (SELECT {names} FROM f UNION ALL SELECT {names} FROM {state} WHERE (lang, source) NOT IN (SELECT (lang, source) FROM f))")
+    distances("scored", "final")
+    return f"""WITH {", ".join(views)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(distance <= {rules.chi_quantile(0.999, p)!r}, false) AS kept
+FROM based LEFT JOIN (SELECT rid, distance FROM scored) USING (rid)"""
+
+
+@query("op12_robust_quality_rules", _rules_sql())
+def op12_robust_quality_rules(spark, sf):
+    return quality_rules.quality_rules(documents(spark, sf)).drop("distance")
+
+
 SPELLING_SQL = r"""
 WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce([b] || [0, 0, 0, 0, 0, 0, 0, 0], lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) AS v
     FROM range(256) r(b))),
