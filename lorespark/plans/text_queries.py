@@ -389,73 +389,3 @@ def list_fidelity(spark, sf):
     rows = turns.withColumn("names", listing.scalar())
     found = F.size(F.filter("names", lambda name: F.contains(F.col("kept"), name)))
     return rows.select("conv_id", "turn", found.cast("long").alias("affirmed"), F.size("names").cast("long").alias("names"))
-
-
-# ---- page cleaning and quality -------------------------------------------------
-
-
-def _html_sql(column: str) -> str:
-    from lorespark.operators.cleaning import HTML_STEPS
-
-    for pattern, replacement in HTML_STEPS:
-        flags = "g"
-        if pattern.startswith("(?is)"):
-            pattern, flags = pattern[5:], "gis"
-        elif pattern.startswith("(?s)"):
-            pattern, flags = pattern[4:], "gs"
-        elif pattern.startswith("(?i)"):
-            pattern, flags = pattern[4:], "gi"
-        replacement = replacement.replace("\n", "' || chr(10) || '")
-        column = f"regexp_replace({column}, '{pattern}', '{replacement}', '{flags}')"
-    return f"trim({column}, ' ' || chr(10))"
-
-
-@query("markup_cleaning", f"""SELECT page_id, md5(k) AS cleaned_hash, length(k) AS cleaned_size FROM (SELECT page_id, {_html_sql('html')} AS k FROM pages)""")
-def markup_cleaning(spark, sf):
-    from lorespark.operators.cleaning import html_to_markdown
-
-    rows = wide_table(spark, sf, "pages").select("page_id", html_to_markdown(F.col("html")).alias("k"))
-    return rows.select("page_id", F.md5("k").alias("cleaned_hash"), F.length("k").cast("long").alias("cleaned_size"))
-
-
-@query("doc_quality_rules", r"""
-WITH p AS (SELECT page_id, '# ' || regexp_extract(html, '<title>([^<]*)', 1) || chr(10) || chr(10) || html AS cleaned, html AS raw, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages),
-r AS (SELECT page_id, CASE WHEN trim(title) = '' THEN 1 ELSE 0 END + CASE WHEN length(cleaned) < 200 THEN 1 ELSE 0 END
-    + CASE WHEN NOT regexp_matches(cleaned, '(?m)^#{2,6}\s+\S') THEN 1 ELSE 0 END AS errors,
-    CASE WHEN length(cleaned) / length(raw) > 1.2 THEN 1 ELSE 0 END AS too_long FROM p)
-SELECT page_id, CAST(errors AS BIGINT) AS errors, CAST(too_long AS BIGINT) AS too_long, CASE WHEN errors > 0 THEN 'ERROR' ELSE 'WARNING' END AS status FROM r""")
-def doc_quality_rules(spark, sf):
-    from lorespark.operators.cleaning import quality_report
-
-    title = F.regexp_extract("html", "<title>([^<]*)", 1)
-    pages = wide_table(spark, sf, "pages").withColumn("title", title).withColumn("cleaned", F.concat(F.lit("# "), "title", F.lit("\n\n"), "html"))
-    report = quality_report(pages, "html", "cleaned", "title")
-    too_long = F.size(F.filter("warnings", lambda w: w.startswith("Document nettoyé plus long")))
-    return report.select("page_id", F.size("errors").cast("long").alias("errors"), too_long.cast("long").alias("too_long"), "status")
-
-
-@query("wiki_cleaning_templates", """
-SELECT o_orderkey, '# Order ' || o_orderkey || chr(10) || chr(10) || '## Statistiques' || chr(10) || chr(10) || '- PV : ' || o_custkey || chr(10)
-    || '- Vitesse : ' || o_orderpriority || chr(10) || chr(10) || '- ' || o_orderstatus || chr(10) || '  - ' || o_custkey || chr(10) || 'lien ' || o_orderpriority AS cleaned
-FROM orders""")
-def wiki_cleaning_templates(spark, sf):
-    """Each order written as a wiki page with nested templates, lists, links and empty sections."""
-    from lorespark.operators.cleaning import clean_pages
-
-    orders = wide_table(spark, sf, "orders").withColumn("title", F.concat(F.lit("Order "), F.col("o_orderkey")))
-    page = F.concat(
-        F.lit("# {{PAGENAME}}<!-- x -->\n\n=== Vide ===\n\n{{Ruban Pokémon|{{Jeu|EV}}}}\n{{Statistiques|PV="), "o_custkey",
-        F.lit("|vitesse="), "o_orderpriority", F.lit("|x={{ps|a}}}}\n\n* '''"), "o_orderstatus", F.lit("'''\n** "), "o_custkey",
-        F.lit("<ref name=\"a\"></ref>\nlien [[Page|"), "o_orderpriority", F.lit("]]\n=== Fin ===\nFichier:x.png\n"))
-    cleaned = clean_pages(orders.withColumn("content", page))
-    return cleaned.select("o_orderkey", F.replace("cleaned", F.lit("### Statistiques"), F.lit("## Statistiques")).alias("cleaned"))
-
-
-@query("national_number_extract", """
-SELECT p_partkey, CASE WHEN p_partkey BETWEEN 1 AND 1025 THEN CAST(p_partkey AS BIGINT) WHEN p_size BETWEEN 1 AND 1025 THEN CAST(p_size AS BIGINT) END AS number FROM part""")
-def national_number_extract(spark, sf):
-    from lorespark.operators.cleaning import national_number
-
-    text = F.concat(F.lit("{{Infobox\n| numéro = 00"), "p_partkey", F.lit(" \n| nom = x\n| ndex = "), "p_size", F.lit("\n}}"))
-    short = F.when(F.length(F.col("p_partkey").cast("string")) <= 4, text).otherwise(F.concat(F.lit("| ndex = "), "p_size"))
-    return table(spark, sf, "part").select("p_partkey", national_number(short).cast("long").alias("number"))
