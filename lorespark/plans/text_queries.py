@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import name_key_column, section_tokens_column, tokens_column
 from lorespark.operators import fidelity, fusion, lexical, mentions, ranking, sections, vectors
 from lorespark.operators.evaluation import first_hit_rank, recall_and_mrr
-from lorespark.session import table, wide_table
+from lorespark.session import table, wide_table, written
+from lorespark.sources.documents import export_report
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -242,6 +243,26 @@ def vector_scoped_topk(spark, sf):
     return found.select("query_id", "doc_id", F.col("score").alias("distance"), F.col("vector_rank").cast("long").alias("vector_rank"))
 
 
+@query("vector_index_topk", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(1 - list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)), 6) + 0.0 AS distance
+    FROM e q JOIN e ON q.vec_id % 50 = 0)
+SELECT query_id, doc_id, distance, vector_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS vector_rank FROM d) WHERE vector_rank <= 100""")
+def vector_index_topk(spark, sf):
+    """Every fiftieth vector asks the index of all vectors, exactly."""
+    index = vectors.vector_index(_embedding_corpus(spark, sf))
+    asked = table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vectors.search_index(index, asked, exact=True)
+    return found.select("query_id", "doc_id", (F.col("score") + 0.0).alias("distance"), F.col("vector_rank").cast("long").alias("vector_rank"))
+
+
+@query("vector_export_check", "SELECT count(*) AS source_rows, count(*) AS exported_rows, true AS same_rows, 0::BIGINT AS vectors_lost FROM embeddings")
+def vector_export_check(spark, sf):
+    """A written copy of all vectors holds the same rows and finds each of them."""
+    source = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+    return export_report(source, written(source))
+
+
 @query("rrf_fusion", f"""WITH {_BM25_SQL}, bm AS (
     SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM score),
 {_VECTOR_SQL.strip()}, vx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS r FROM d),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -43,3 +45,24 @@ def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = table(spark, folder, name)
     cores = spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share.
+
+    The folder is that of ``spark.checkpoint.dir``. Without it only a local session, where all tasks see one disk, gets a folder of its own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
+        root = tempfile.mkdtemp(prefix="lorespark-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/lorespark-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

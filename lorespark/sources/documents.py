@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorespark.functions.text import fold_text
+from lorespark.operators import vectors
 from lorespark.operators.cleaning import clean_pages, page_header, quality_report, tidy
 
 PAGE_SCHEMA = T.StructType([
@@ -132,13 +133,34 @@ def with_numbers(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("doc_id", F.monotonically_increasing_id())
 
 
-def check_export(source: DataFrame, exported: DataFrame) -> None:
-    """Same number of rows, and the first vector is its own nearest neighbour."""
-    from lorespark.operators.vectors import nearest
+def rows_digest(df: DataFrame) -> Column:
+    """Order-free digest of a multiset of rows, as an aggregate: each repeated row counts again."""
+    row = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    half = lambda seed: F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)"))
+    return F.concat_ws(":", F.count(F.lit(1)), half(1), half(2))
+
+
+def export_report(source: DataFrame, exported: DataFrame, doc_id: str = "doc_id", vector: str = "vector", within: float = 1e-4) -> DataFrame:
+    """One row: sizes, whether both hold the same multiset of rows, and how many vectors of the export do not find themselves.
 
-    if source.count() != exported.count():
+    Every vector is a query to an index of the export; a vector is found if a vector of its own row number, or an equal one, is nearest.
+    """
+    own = exported.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(vector).alias("vector"))
+    index = vectors.vector_index(own)
+    found = vectors.search_index(index, own.select(F.col("doc_id").alias("query_id"), "vector"), k=1, probes=1, exact=True)
+    lost = own.join(found.where(F.col("score") <= within).select(F.col("query_id").alias("doc_id")), "doc_id", "left_anti")
+    sizes = source.agg(F.count(F.lit(1)).alias("source_rows"), rows_digest(source).alias("source_digest")).crossJoin(
+        exported.agg(F.count(F.lit(1)).alias("exported_rows"), rows_digest(exported).alias("exported_digest")))
+    return sizes.select("source_rows", "exported_rows", (F.col("source_digest") == F.col("exported_digest")).alias("same_rows"),
+                        lost.agg(F.count(F.lit(1))).scalar().alias("vectors_lost"))
+
+
+def check_export(source: DataFrame, exported: DataFrame) -> None:
+    """Raise unless the export holds the rows of its source and finds each of its vectors."""
+    row = export_report(source, exported).first()
+    if row["source_rows"] != row["exported_rows"]:
         raise ValueError("the export does not hold every row")
-    first = exported.orderBy("doc_id").limit(1).select(F.col("doc_id").alias("query_id"), "vector")
-    found = nearest(exported.select("doc_id", "vector"), first, k=1).first()
-    if found is None or found["score"] > 1e-4:
-        raise ValueError("the export does not find its own vectors")
+    if not row["same_rows"]:
+        raise ValueError("the export holds other rows than its source")
+    if row["vectors_lost"]:
+        raise ValueError(f"the export does not find {row['vectors_lost']} of its own vectors")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import TOKEN_PATTERN
 from lorespark.operators import fusion, lexical, sections, vectors
 from lorespark.plans import retrieval
+from lorespark.sources import documents
 
 random.seed(11)
 WORDS = ["le", "feu", "eau", "roche", "type", "force", "lune", "soleil", "vent", "nuit", "rare", "unique"]
@@ -53,20 +54,63 @@ def test_bm25_in_blocks_of_any_size(spark, scoped, rows):
 
 
 @pytest.mark.parametrize("scope", [False, True])
-@pytest.mark.parametrize("bound", [100, 2])
-def test_nearest_on_both_plans(spark, scope, bound):
+@pytest.mark.parametrize("bound", [1, 3])
+def test_nearest_with_any_number_of_groups(spark, scope, bound):
     rng = np.random.default_rng(5)
     docs = [(int(n), rng.normal(size=6).astype(float).tolist(), "ab"[n % 2]) for n in range(80)]
     asked = [(int(n), rng.normal(size=6).astype(float).tolist(), "ab"[n % 2]) for n in range(7)]
     corpus = spark.createDataFrame(docs, "doc_id long, vector array<double>, scope string")
     queries = spark.createDataFrame(asked, "query_id long, vector array<double>, scope string")
-    found = vectors.nearest(corpus, queries, k=9, scope=scope, query_bound=bound).collect()
+    found = vectors.nearest(corpus, queries, k=9, scope=scope, groups=bound).collect()
     for q, vector, own in asked:
         distance = {n: round(1 - np.dot(v, vector) / np.linalg.norm(v) / np.linalg.norm(vector), 6) for n, v, s in docs if not scope or s == own}
         expected = sorted(distance, key=lambda n: (distance[n], n))[:9]
         assert [r.doc_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.vector_rank)] == expected
 
 
+def _embedded(rng, n, dims=8):
+    return [(int(i), (rng.normal(size=dims) + 6 * (np.arange(dims) == i % dims)).tolist(), "ab"[i % 2]) for i in range(n)]
+
+
+@pytest.mark.parametrize("scope", [False, True])
+def test_exact_index_search_equals_the_scan(spark, scope):
+    rng = np.random.default_rng(8)
+    docs = _embedded(rng, 300) + [(1000, [0.0] * 8, "a"), (1001, [0.0] * 8, "b"), (1002, None, "a"), (1003, [1.0] * 8, None)]
+    asked = _embedded(rng, 20) + [(500, [0.0] * 8, "a"), (501, docs[3][1], "c")]
+    corpus = spark.createDataFrame(docs, "doc_id long, vector array<double>, scope string")
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>, scope string")
+    index = vectors.vector_index(corpus, scope=scope, cells=12)
+    for probes in (1, 4, 12):
+        found = vectors.search_index(index, queries, k=10, probes=probes, exact=True)
+        scan = vectors.nearest(corpus, queries, k=10, scope=scope)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, scan.collect()))
+
+
+def test_index_recall_with_few_probes(spark):
+    rng = np.random.default_rng(9)
+    corpus = spark.createDataFrame(_embedded(rng, 1200, 16), "doc_id long, vector array<double>, scope string")
+    queries = corpus.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector", "scope")
+    index = vectors.vector_index(corpus)
+    probes = vectors.calibrated_probes(index, k=10, queries=20)
+    assert probes < len(index.centroids)
+    found, scan = ({(r.query_id, r.doc_id) for r in df.collect()} for df in (
+        vectors.search_index(index, queries, k=10, probes=probes), vectors.nearest(corpus, queries, k=10)))
+    assert len(found & scan) >= 0.9 * len(scan)
+    empty = vectors.vector_index(corpus.where("doc_id < 0"))
+    assert vectors.search_index(empty, queries, exact=True).count() == 0
+
+
+def test_export_report_finds_one_changed_vector_and_one_doubled_row(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, v) for i, v, _ in _embedded(rng, 60)]
+    frame = lambda data: spark.createDataFrame(data, "doc_id long, vector array<double>")
+    changed = [(i, [x + 1e-9 for x in v] if i == 7 else v) for i, v in rows]
+    lost = [(i, [0.0] * 8 if i == 7 else v) for i, v in rows]
+    report = lambda data: tuple(documents.export_report(frame(rows), frame(data)).first())
+    assert report(rows[::-1]) == (60, 60, True, 0)
+    assert report(changed)[2] is False and report(rows[:-1] + rows[:1])[:3] == (60, 60, False) and report(lost) == (60, 60, False, 1)
+
+
 def test_bm25_orders_negative_scores_and_null_scopes_alike(spark):
     # "mot" is the whole vocabulary and stands in most documents: its weight is negative, so documents without it come first.
     corpus = spark.createDataFrame([(0, None, "mot"), (1, "a", "mot mot"), (2, "a", "mot"), (3, None, ""), (4, "a", "")], "n long, lang string, text string")
