@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.session import written  # noqa: F401
+
 WORD = re.compile(r"\w+")
 # Words remembered per Python worker; a memory bound only, forgotten words are hashed again.
 CACHED_WORDS = 400_000
@@ -25,23 +25,6 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lorespark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lorespark-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
