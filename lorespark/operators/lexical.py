@@ -1,24 +1,28 @@
-"""BM25 ranking of documents for many queries."""
+"""BM25 ranking of documents for many queries, by blocks of postings.
 
-from __future__ import annotations
+A block holds the postings of one term in one range of documents, and the largest contribution the term makes there. Ranges are
+shares of a scope by hashed number, of about ``RANGE_DOCUMENTS`` documents, so no block grows with its term. Queries first meet the heads
+of blocks: the sum of the largest contributions bounds every score in a range. The ranges of the largest bounds are scored first;
+the ``k``-th best score they yield is a floor, and only ranges whose bound reaches it are scored too. Both kinds of join are
+equality joins on terms, spread over slices of ranges, so queries never pass through the driver and a frequent term is no hot key.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import token_counts_column, tokens_column
-from lorespark.operators.topk_scan import BestRows, no_results, scan
+from lorespark.operators.ranking import ranked_topk
+from lorespark.operators.topk_scan import SCORE_DECIMALS
+from lorespark.session import written
 
 # Fixed values of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DEFAULT_CANDIDATES = 200
-TILE_CELLS = 4_000_000
-# (query, term) weights that one pass over the index scores.
-BLOCK_ROWS = 100_000
+RANGE_DOCUMENTS, SLICES = 256, 16
+# Room for the rounding of scores and bounds.
+ROUNDING = 2e-6
 
 
 def lexical_index(documents: DataFrame, doc_id: str, text: str, scope: str | None = None) -> DataFrame:
@@ -74,82 +78,95 @@ def query_weights(queries: DataFrame, statistics: DataFrame, query_id: str, text
     )
 
 
+def posting_blocks(index: DataFrame, totals: DataFrame, terms: DataFrame | None = None, scoped: bool = True, range_documents: int = RANGE_DOCUMENTS) -> DataFrame:
+    """(term, scope, range, slice, best, postings): postings of each term and range with their contributions for a weight of one.
+
+    With ``terms`` only the blocks of these terms are built: other postings never reach the exchange.
+    """
+    mean_length = totals.filter("term IS NULL").select(F.col("occurrences") / F.col("df")).scalar()
+    rows = index.select("doc_id", F.col("scope") if scoped else F.lit(None).cast("string").alias("scope"), "length", "counts")
+    sizes = rows.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / range_documents).alias("ranges"))
+    ranged = rows.alias("r").join(sizes.alias("s"), F.col("r.scope").eqNullSafe(F.col("s.scope"))).select(
+        "doc_id", "r.scope", "length", "counts", F.pmod(F.xxhash64("doc_id"), F.col("ranges")).cast("int").alias("range"))
+    postings = ranged.select("doc_id", "scope", "length", "range", F.explode("counts").alias("item")).select("doc_id", "scope", "length", "range", "item.term", "item.tf")
+    if terms is not None:
+        postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
+    return postings.withColumn("share", share).groupBy("term", "scope", "range").agg(
+        F.max("share").alias("best"), F.collect_list(F.struct("doc_id", "share")).alias("postings")).withColumn("slice", F.col("range") % SLICES)
+
+
+def _scores(chosen: DataFrame, hits: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of all documents with a query token in the chosen (query_id, scope, range)."""
+    keys = ["query_id", "scope_key", "range"]
+    wanted = chosen.select(*keys).join(hits, keys).select(*keys, "term", "weight")
+    held = blocks.select("term", F.coalesce("scope", F.lit("")).alias("scope_key"), F.col("scope").isNull().alias("bare"), "range", "postings")
+    # Blocks travel whole to their (query, range); there the sums per document need no further exchange.
+    pieces = wanted.join(held.withColumn("scope_key", _scope_key("scope_key", "bare")), ["term", "scope_key", "range"]).select(*keys, "weight", "postings")
+    exploded = pieces.repartition("query_id", "scope_key", "range").select(*keys, "weight", F.explode("postings").alias("p"))
+    summed = exploded.groupBy(*keys, "p.doc_id").agg(F.sum(F.col("weight") * F.col("p.share")).alias("score"))
+    return summed.select("query_id", "doc_id", F.round("score", SCORE_DECIMALS).alias("score"))
+
+
+def _scope_key(scope: str, bare: str) -> F.Column:
+    """A scope as a join key that keeps a missing scope apart from an empty one."""
+    return F.concat(F.when(F.col(bare), F.lit("-")).otherwise(F.lit("+")), F.col(scope))
+
+
 def bm25_topk(
     index: DataFrame, queries: DataFrame, *, query_id: str, text: str, k: int = DEFAULT_CANDIDATES, scope: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    range_documents: int = RANGE_DOCUMENTS,
 ) -> DataFrame:
     """(query_id, doc_id, score, bm25_rank): best ``k`` documents of each query.
 
     Term rarity is measured on the whole corpus; a scope only restricts which documents
     are ranked (a query without scope ranks those without scope). Documents without any
     query token score zero and still fill the list, before documents with a negative score.
+    """
+    return ranked_blocks(index, queries, query_id=query_id, text=text, k=k, scope=scope, range_documents=range_documents)[0]
 
-    Queries go in blocks of about ``block_rows`` (query, term) weights, and each block is
-    one pass over the index with the same ranking: the number of queries changes how
-    often the index is read, never the result. Give a written index for many blocks.
+
+def ranked_blocks(
+    index: DataFrame, queries: DataFrame, *, query_id: str, text: str, k: int = DEFAULT_CANDIDATES, scope: str | None = None,
+    range_documents: int = RANGE_DOCUMENTS,
+) -> tuple[DataFrame, DataFrame]:
+    """The ranking of ``bm25_topk``, and per query how many blocks its terms have and how many of them were read."""
+    totals = written(term_totals(index))
+    weights = written(query_weights(queries, term_statistics(totals), query_id, text, scope))
+    weighted = weights.filter("term IS NOT NULL AND weight <> 0").select("query_id", F.coalesce("scope", F.lit("")).alias("scope_key"), F.col("scope").isNull().alias("bare"), "term", "weight")
+    blocks = written(posting_blocks(index, totals, weighted, scope is not None, range_documents))
+    heads = blocks.select("term", F.coalesce("scope", F.lit("")).alias("scope_key"), F.col("scope").isNull().alias("bare"), "range", "slice", "best")
+    keyed = lambda df: df.withColumn("scope_key", _scope_key("scope_key", "bare")).drop("bare")
+    spread = keyed(weighted).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    hits = written(spread.join(keyed(heads), ["term", "scope_key", "slice"]).drop("slice"))
+    keys = ["query_id", "scope_key", "range"]
+    bounds = written(hits.groupBy(*keys).agg(F.sum(F.greatest(F.col("weight") * F.col("best"), F.lit(0.0))).alias("bound"), F.count(F.lit(1)).alias("blocks")))
+    # First the ranges of the largest bounds: twice as many documents as are wanted, some ranges at least.
+    first = ranked_topk(bounds, ["query_id"], [F.desc("bound"), F.asc("scope_key"), F.asc("range")], max(4, -(-2 * k // range_documents)), "place").drop("place")
+    found = written(_scores(first, hits, blocks))
+    reached = ranked_topk(found.filter("score > 0"), ["query_id"], [F.desc("score"), F.asc("doc_id")], k, "place").filter(F.col("place") == k)
+    floor = reached.select("query_id", F.col("score").alias("floor"))
+    further = bounds.join(first.select(*keys), keys, "left_anti").join(floor, "query_id", "left").filter(
+        F.col("floor").isNull() | (F.col("bound") + ROUNDING >= F.col("floor")))
+    further = written(further)
+    scores = written(found.unionByName(_scores(further, hits, blocks)))
+    visits = bounds.groupBy("query_id").agg(F.sum("blocks").alias("blocks")).join(
+        first.select("query_id", "blocks").unionByName(further.select("query_id", "blocks")).groupBy("query_id").agg(F.sum("blocks").alias("blocks_read")), "query_id")
+    order = [F.desc("score"), F.asc("doc_id")]
+    return ranked_topk(scores.unionByName(_zeros(index, weights, scores, k, scope is not None)), ["query_id"], order, k, "bm25_rank"), visits
+
+
+def _zeros(index: DataFrame, weights: DataFrame, scores: DataFrame, k: int, scoped: bool) -> DataFrame:
+    """(query_id, doc_id, 0.0): documents without a query token, for queries with fewer than ``k`` documents above zero.
+
+    Of the first ``k`` documents and as many more as such a query has matched, at least ``k`` are not matched by it, if there are so many.
     """
-    # The vocabulary is read several times (rarity, its mean, the corpus size): kept, it costs one pass.
-    totals = term_totals(index).persist()
-    weights = query_weights(queries, term_statistics(totals), query_id, text, scope).persist()
-    try:
-        blocks = max(1, -(-weights.count() // block_rows))
-        own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        parts = []
-        for block in range(blocks):
-            rows = weights.filter(own == block).collect()
-            if rows:
-                parts.append(scan(index, _scorer(rows, k, scope is not None), k, True, "bm25_rank"))
-    finally:
-        weights.unpersist()
-        totals.unpersist()
-    if not parts:
-        return no_results(index, k, True, "bm25_rank")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
-
-
-def _scorer(rows: list, k: int, scoped: bool):
-    query_ids = sorted({row["query_id"] for row in rows})
-    query_position = {query: n for n, query in enumerate(query_ids)}
-    weighted = sorted((row["term"], query_position[row["query_id"]], row["weight"]) for row in rows if row["term"] is not None and row["weight"] != 0.0)
-    terms = sorted({term for term, _, _ in weighted})
-    # Weights as sparse rows: the queries of term t stand at starts[t] .. starts[t + 1].
-    starts = np.searchsorted(np.array([term for term, _, _ in weighted], dtype=object), np.array(terms, dtype=object)) if terms else np.zeros(0, int)
-    starts = np.append(starts, len(weighted)).astype(np.int64)
-    of_query = np.array([query for _, query, _ in weighted], dtype=np.int64)
-    of_weight = np.array([weight for _, _, weight in weighted])
-    scopes = [None] * len(query_ids)
-    for row in rows:
-        scopes[query_position[row["query_id"]]] = row["scope"]
-    mean_length = rows[0]["mean_length"] or 1.0
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestRows(len(query_ids), k, True)
-        vocabulary = pa.array(terms, pa.string())
-        tile = max(1, TILE_CELLS // len(query_ids))
-        for batch in batches:
-            for first in range(0, batch.num_rows, tile):
-                part = batch.slice(first, tile)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                lengths = part.column("length").to_numpy(zero_copy_only=False)
-                counts = part.column("counts")
-                items, owner = counts.flatten(), pc.list_parent_indices(counts).to_numpy(zero_copy_only=False)
-                found = pc.index_in(items.field("term"), value_set=vocabulary)
-                known = found.is_valid().to_numpy(zero_copy_only=False)
-                owner, term = owner[known], found.drop_null().to_numpy(zero_copy_only=False)
-                tf = items.field("tf").to_numpy(zero_copy_only=False)[known]
-                saturation = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length))
-                fan = starts[term + 1] - starts[term]
-                place = np.repeat(starts[term] - np.concatenate(([0], np.cumsum(fan)[:-1])), fan) + np.arange(fan.sum()) if len(term) else np.zeros(0, int)
-                cells = np.repeat(owner, fan) * len(query_ids) + of_query[place]
-                scores = np.bincount(cells, np.repeat(saturation, fan) * of_weight[place], part.num_rows * len(query_ids))
-                eligible = None
-                if scoped:
-                    own = np.asarray(part.column("scope").to_pylist(), dtype=object)
-                    eligible = np.stack([own == wanted for wanted in scopes], axis=1)
-                best.add(scores.reshape(part.num_rows, len(query_ids)), ids, eligible)
-        yield pa.RecordBatch.from_pandas(best.frame(query_ids), preserve_index=False)
-
-    return score
+    known = scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("matched"), F.count_if(F.col("score") > 0).alias("above"))
+    short = weights.select("query_id", "scope").distinct().join(known, "query_id", "left").filter(F.coalesce("above", F.lit(0)) < k)
+    most = short.agg(F.max(F.coalesce("matched", F.lit(0)))).first()[0]
+    if most is None:
+        return scores.limit(0)
+    rows = index.select("doc_id", F.col("scope") if scoped else F.lit(None).cast("string").alias("scope"))
+    leading = ranked_topk(rows, ["scope"], [F.asc("doc_id")], k + most, "place")
+    pairs = short.alias("q").join(leading.alias("d"), F.col("q.scope").eqNullSafe(F.col("d.scope")) if scoped else F.lit(True)).select("query_id", "doc_id")
+    return pairs.join(scores, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))

@@ -38,12 +38,12 @@ def bm25(query, documents):
 
 
 @pytest.mark.parametrize("scoped", [False, True])
-@pytest.mark.parametrize("rows", [100_000, 3, 1])
+@pytest.mark.parametrize("rows", [100_000, 7, 1])
 def test_bm25_in_blocks_of_any_size(spark, scoped, rows):
     corpus = spark.createDataFrame(CORPUS, "n long, lang string, text string")
     queries = spark.createDataFrame(QUERIES, "q long, scope string, text string")
     index = lexical.lexical_index(corpus, "n", "text", "lang")
-    found = lexical.bm25_topk(index, queries, query_id="q", text="text", k=10, scope="scope" if scoped else None, block_rows=rows).collect()
+    found = lexical.bm25_topk(index, queries, query_id="q", text="text", k=10, scope="scope" if scoped else None, range_documents=rows).collect()
     for q, scope, text in QUERIES:
         scores = bm25(text, CORPUS)
         eligible = [n for n, lang, _ in CORPUS if not scoped or lang == scope]
@@ -111,15 +111,31 @@ def test_export_report_finds_one_changed_vector_and_one_doubled_row(spark):
     assert report(changed)[2] is False and report(rows[:-1] + rows[:1])[:3] == (60, 60, False) and report(lost) == (60, 60, False, 1)
 
 
+def test_bm25_skips_blocks_below_the_floor(spark):
+    # A rare word next to a frequent one: ranges without the rare word cannot reach the first places.
+    rng = random.Random(12)
+    texts = [(n, None, " ".join(rng.choices(["bois", *(f"mot{i}" for i in range(60))], k=10)) + (" rare rare rare" if n % 40 == 7 else "")) for n in range(2000)]
+    corpus = spark.createDataFrame(texts, "n long, lang string, text string")
+    queries = spark.createDataFrame([(1, "rare bois"), (2, "rare")], "q long, text string")
+    index = lexical.lexical_index(corpus, "n", "text")
+    found, visits = lexical.ranked_blocks(index, queries, query_id="q", text="text", k=3, range_documents=8)
+    scores = {q: bm25(text, [(n, None, t) for n, _, t in texts]) for q, text in ((1, "rare bois"), (2, "rare"))}
+    for q in (1, 2):
+        expected = sorted(scores[q], key=lambda n: (-scores[q][n], n))[:3]
+        assert [r.doc_id for r in sorted((r for r in found.collect() if r.query_id == q), key=lambda r: r.bm25_rank)] == expected
+    read = {r["query_id"]: (r["blocks_read"], r["blocks"]) for r in visits.collect()}
+    assert read[1][0] < read[1][1] / 2 and read[2][1] < 60
+
+
 def test_bm25_orders_negative_scores_and_null_scopes_alike(spark):
     # "mot" is the whole vocabulary and stands in most documents: its weight is negative, so documents without it come first.
     corpus = spark.createDataFrame([(0, None, "mot"), (1, "a", "mot mot"), (2, "a", "mot"), (3, None, ""), (4, "a", "")], "n long, lang string, text string")
     queries = spark.createDataFrame([(1, None, "mot"), (2, "a", "mot")], "q long, scope string, text string")
     index = lexical.lexical_index(corpus, "n", "text", "lang")
     for rows in (100_000, 1):
-        found = lexical.bm25_topk(index, queries, query_id="q", text="text", k=2, block_rows=rows).collect()
+        found = lexical.bm25_topk(index, queries, query_id="q", text="text", k=2, range_documents=rows).collect()
         assert {(r.query_id, r.bm25_rank): r.doc_id for r in found} == {(q, n + 1): doc for q in (1, 2) for n, doc in enumerate((3, 4))}
-        scoped = lexical.bm25_topk(index, queries, query_id="q", text="text", k=2, scope="scope", block_rows=rows).collect()
+        scoped = lexical.bm25_topk(index, queries, query_id="q", text="text", k=2, scope="scope", range_documents=rows).collect()
         assert {(r.query_id, r.bm25_rank): r.doc_id for r in scoped} == {(1, 1): 3, (1, 2): 0, (2, 1): 4, (2, 2): 2}
 
 
