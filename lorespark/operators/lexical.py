@@ -9,18 +9,23 @@ equality joins on terms, spread over slices of ranges, so queries never pass thr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import token_counts_column, tokens_column
 from lorespark.operators.ranking import ranked_topk
-from lorespark.operators.topk_scan import SCORE_DECIMALS
+from lorespark.operators.topk_scan import SCAN_SCHEMA, SCORE_DECIMALS
 from lorespark.session import written
 
 # Fixed values of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DEFAULT_CANDIDATES = 200
-RANGE_DOCUMENTS, SLICES = 256, 16
+RANGE_DOCUMENTS, SLICES, SLICE_QUERIES = 256, 16, 256
 # Room for the rounding of scores and bounds.
 ROUNDING = 2e-6
 
@@ -79,38 +84,75 @@ def query_weights(queries: DataFrame, statistics: DataFrame, query_id: str, text
 
 
 def posting_blocks(index: DataFrame, totals: DataFrame, terms: DataFrame | None = None, scoped: bool = True, range_documents: int = RANGE_DOCUMENTS) -> DataFrame:
-    """(term, scope, range, slice, best, postings): postings of each term and range with their contributions for a weight of one.
+    """(term, scope_key, range, slice, best, postings): postings of each term and range with their contributions for a weight of one.
 
-    With ``terms`` only the blocks of these terms are built: other postings never reach the exchange.
+    With ``terms`` (term, number) only the blocks of these terms are built, by number: other postings never reach the exchange.
     """
     mean_length = totals.filter("term IS NULL").select(F.col("occurrences") / F.col("df")).scalar()
-    rows = index.select("doc_id", F.col("scope") if scoped else F.lit(None).cast("string").alias("scope"), "length", "counts")
-    sizes = rows.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / range_documents).alias("ranges"))
-    ranged = rows.alias("r").join(sizes.alias("s"), F.col("r.scope").eqNullSafe(F.col("s.scope"))).select(
-        "doc_id", "r.scope", "length", "counts", F.pmod(F.xxhash64("doc_id"), F.col("ranges")).cast("int").alias("range"))
-    postings = ranged.select("doc_id", "scope", "length", "range", F.explode("counts").alias("item")).select("doc_id", "scope", "length", "range", "item.term", "item.tf")
+    rows = index.select("doc_id", _scope_key(F.col("scope") if scoped else F.lit(None).cast("string")).alias("scope_key"), "length", "counts")
+    sizes = rows.groupBy("scope_key").agg(F.ceil(F.count(F.lit(1)) / range_documents).alias("ranges"))
+    ranged = rows.join(sizes, "scope_key").withColumn("range", F.pmod(F.xxhash64("doc_id"), F.col("ranges")).cast("int"))
+    postings = ranged.select("doc_id", "scope_key", "length", "range", F.explode("counts").alias("item")).select(
+        "doc_id", "scope_key", "length", "range", "item.term", "item.tf")
     if terms is not None:
-        postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
+        postings = postings.join(terms, "term").drop("term").withColumnRenamed("number", "term")
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
-    return postings.withColumn("share", share).groupBy("term", "scope", "range").agg(
+    return postings.withColumn("share", share).groupBy("term", "scope_key", "range").agg(
         F.max("share").alias("best"), F.collect_list(F.struct("doc_id", "share")).alias("postings")).withColumn("slice", F.col("range") % SLICES)
 
 
-def _scores(chosen: DataFrame, hits: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of all documents with a query token in the chosen (query_id, scope, range)."""
-    keys = ["query_id", "scope_key", "range"]
-    wanted = chosen.select(*keys).join(hits, keys).select(*keys, "term", "weight")
-    held = blocks.select("term", F.coalesce("scope", F.lit("")).alias("scope_key"), F.col("scope").isNull().alias("bare"), "range", "postings")
-    # Blocks travel whole to their (query, range); there the sums per document need no further exchange.
-    pieces = wanted.join(held.withColumn("scope_key", _scope_key("scope_key", "bare")), ["term", "scope_key", "range"]).select(*keys, "weight", "postings")
-    exploded = pieces.repartition("query_id", "scope_key", "range").select(*keys, "weight", F.explode("postings").alias("p"))
-    summed = exploded.groupBy(*keys, "p.doc_id").agg(F.sum(F.col("weight") * F.col("p.share")).alias("score"))
-    return summed.select("query_id", "doc_id", F.round("score", SCORE_DECIMALS).alias("score"))
+def _scope_key(scope: Column) -> Column:
+    """A scope as a join key that keeps a missing scope apart from an empty one."""
+    return F.coalesce(F.concat(F.lit("+"), scope), F.lit("-"))
 
 
-def _scope_key(scope: str, bare: str) -> F.Column:
-    """A scope as a join key that keeps a missing scope apart from an empty one."""
-    return F.concat(F.when(F.col(bare), F.lit("-")).otherwise(F.lit("+")), F.col(scope))
+def _scores(chosen: DataFrame, weighted: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score) of the documents with a query token in the chosen (query_id, scope_key, range).
+
+    The blocks of a range and a slice of its queries meet as one row: a range holds a bounded number of documents, a slice a
+    bounded number of queries. Where more than ``k`` documents of a range score above zero, the best ``k`` of them are rows.
+    """
+    own = ["scope_key", "range"]
+    asked = chosen.select("query_id", *own).join(weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms")), "query_id")
+    sizes = asked.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / SLICE_QUERIES).alias("slices"))
+    sliced = asked.join(sizes, own).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("slices")))
+    slices = sliced.groupBy(*own, "part").agg(F.collect_list(F.struct("query_id", "terms")).alias("queries")).drop("part")
+    ranges = blocks.groupBy(*own).agg(F.collect_list(F.struct("term", "postings")).alias("blocks"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield _range_scores(batch.column("blocks").slice(row, 1).flatten(), batch.column("queries").slice(row, 1).flatten(), k)
+
+    return ranges.join(slices, own).select("blocks", "queries").mapInArrow(score, SCAN_SCHEMA)
+
+
+def _range_scores(blocks: pa.StructArray, queries: pa.StructArray, k: int) -> pa.RecordBatch:
+    """Sparse product of the weights of some queries and the postings of one range."""
+    postings = blocks.field("postings")
+    own_term = blocks.field("term").to_numpy()[pc.list_parent_indices(postings).to_numpy()]
+    items = postings.flatten()
+    documents, place = np.unique(items.field("doc_id").to_numpy(), return_inverse=True)
+    share = items.field("share").to_numpy()
+    ids, terms = queries.field("query_id").to_numpy(), queries.field("terms")
+    of_query, weights = pc.list_parent_indices(terms).to_numpy(), terms.flatten()
+    order = np.argsort(weights.field("term").to_numpy(), kind="stable")
+    term, of_query, weight = weights.field("term").to_numpy()[order], of_query[order], weights.field("weight").to_numpy()[order]
+    # The weights of a term stand side by side; every posting meets all of them.
+    first, last = np.searchsorted(term, own_term, "left"), np.searchsorted(term, own_term, "right")
+    fan = last - first
+    at = np.repeat(first - np.cumsum(fan) + fan, fan) + np.arange(fan.sum())
+    cells = np.repeat(place, fan) + of_query[at] * len(documents)
+    scores = np.bincount(cells, np.repeat(share, fan) * weight[at], len(ids) * len(documents)).reshape(len(ids), -1).round(SCORE_DECIMALS)
+    kept = np.bincount(cells, minlength=scores.size).reshape(scores.shape) > 0
+    for query in np.flatnonzero((kept & (scores > 0)).sum(axis=1) > k):
+        kept[query] &= scores[query] > 0
+        held = np.flatnonzero(kept[query])
+        best = held[np.lexsort((documents[held], -scores[query, held]))[:k]]
+        kept[query] = False
+        kept[query, best] = True
+    query, document = np.nonzero(kept)
+    return pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(documents[document]), pa.array(scores[kept])], names=["query_id", "doc_id", "score"])
 
 
 def bm25_topk(
@@ -133,23 +175,23 @@ def ranked_blocks(
     """The ranking of ``bm25_topk``, and per query how many blocks its terms have and how many of them were read."""
     totals = written(term_totals(index))
     weights = written(query_weights(queries, term_statistics(totals), query_id, text, scope))
-    weighted = weights.filter("term IS NOT NULL AND weight <> 0").select("query_id", F.coalesce("scope", F.lit("")).alias("scope_key"), F.col("scope").isNull().alias("bare"), "term", "weight")
-    blocks = written(posting_blocks(index, totals, weighted, scope is not None, range_documents))
-    heads = blocks.select("term", F.coalesce("scope", F.lit("")).alias("scope_key"), F.col("scope").isNull().alias("bare"), "range", "slice", "best")
-    keyed = lambda df: df.withColumn("scope_key", _scope_key("scope_key", "bare")).drop("bare")
-    spread = keyed(weighted).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    hits = written(spread.join(keyed(heads), ["term", "scope_key", "slice"]).drop("slice"))
+    used = weights.filter("term IS NOT NULL AND weight <> 0")
+    terms = written(used.select("term").distinct().withColumn("number", F.monotonically_increasing_id()))
+    weighted = written(used.join(terms, "term").select("query_id", _scope_key(F.col("scope")).alias("scope_key"), F.col("number").alias("term"), "weight"))
+    blocks = written(posting_blocks(index, totals, terms, scope is not None, range_documents))
+    spread = weighted.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    hits = spread.join(blocks.select("term", "scope_key", "range", "slice", "best"), ["term", "scope_key", "slice"])
     keys = ["query_id", "scope_key", "range"]
     bounds = written(hits.groupBy(*keys).agg(F.sum(F.greatest(F.col("weight") * F.col("best"), F.lit(0.0))).alias("bound"), F.count(F.lit(1)).alias("blocks")))
     # First the ranges of the largest bounds: twice as many documents as are wanted, some ranges at least.
     first = ranked_topk(bounds, ["query_id"], [F.desc("bound"), F.asc("scope_key"), F.asc("range")], max(4, -(-2 * k // range_documents)), "place").drop("place")
-    found = written(_scores(first, hits, blocks))
+    found = written(_scores(first, weighted, blocks, k))
     reached = ranked_topk(found.filter("score > 0"), ["query_id"], [F.desc("score"), F.asc("doc_id")], k, "place").filter(F.col("place") == k)
     floor = reached.select("query_id", F.col("score").alias("floor"))
     further = bounds.join(first.select(*keys), keys, "left_anti").join(floor, "query_id", "left").filter(
         F.col("floor").isNull() | (F.col("bound") + ROUNDING >= F.col("floor")))
     further = written(further)
-    scores = written(found.unionByName(_scores(further, hits, blocks)))
+    scores = written(found.unionByName(_scores(further, weighted, blocks, k)))
     visits = bounds.groupBy("query_id").agg(F.sum("blocks").alias("blocks")).join(
         first.select("query_id", "blocks").unionByName(further.select("query_id", "blocks")).groupBy("query_id").agg(F.sum("blocks").alias("blocks_read")), "query_id")
     order = [F.desc("score"), F.asc("doc_id")]

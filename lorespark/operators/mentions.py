@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from lorespark.functions.text import name_key_column
 
+AUTOMATON_CHARS = 32_000_000
+HITS = "array<struct<start: int, size: int, alias_key: string>>"
+
 
 def word_spans(words: Column, lengths: Column) -> Column:
     """``array<struct<start, size, phrase>>``: every run of consecutive words of the given sizes."""
@@ -16,14 +23,53 @@ def word_spans(words: Column, lengths: Column) -> Column:
             start.alias("start"), size.alias("size"), F.array_join(F.slice(words, start + 1, size), "-").alias("phrase")))))
 
 
-def mentions(texts: DataFrame, text_id: str, text: str, aliases: DataFrame) -> DataFrame:
+def mentions(texts: DataFrame, text_id: str, text: str, aliases: DataFrame, *, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """(text_id, start, size, alias_key, target) of the alias mentions of each text.
 
-    A text meets an alias through an equal run of words, so the join is an equality on
-    the phrase instead of a containment test between every text and every alias. Only
-    runs as long as some alias are made, whatever the longest alias is. Each run is a row.
+    The names are one automaton over keys, built once from the collected keys and read by each task; texts are matched inside
+    their rows and only hits are new rows. That holds while all keys together have at most ``automaton_chars`` characters. A larger
+    catalogue meets the texts by equality joins on runs of words; the result is the same.
     """
     names = aliases.filter("alias_key <> ''").select("alias_key", "target").distinct()
+    keys = names.select("alias_key").distinct()
+    if (keys.agg(F.sum(F.length("alias_key"))).first()[0] or 0) > automaton_chars:
+        return mentions_by_runs(texts, text_id, text, names)
+    spotter = NameSpotter([row["alias_key"] for row in keys.collect()])
+
+    @F.pandas_udf(HITS)
+    def spot(keyed: pd.Series) -> pd.Series:
+        return keyed.map(spotter.hits)
+
+    found = texts.select(text_id, F.explode(spot(name_key_column(F.col(text)))).alias("hit")).select(text_id, "hit.start", "hit.size", "hit.alias_key")
+    return found.join(names, "alias_key")
+
+
+class NameSpotter:
+    """All runs of whole words of a key that are names; the automaton is built where it is used and stays out of the closure."""
+
+    def __init__(self, names: list[str]):
+        self.names, self._automaton = names, None
+
+    def __getstate__(self):
+        return {"names": self.names, "_automaton": None}
+
+    def hits(self, key: str | None) -> list[dict]:
+        if not key or not self.names:
+            return []
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for name in self.names:
+                self._automaton.add_word(f"-{name}-", (name, name.count("-") + 1))
+            self._automaton.make_automaton()
+        # The word that ends before a place has as many dashes before it as words before it.
+        found, dashes = list(self._automaton.iter(f"-{key}-")), None
+        if found:
+            dashes = np.cumsum(np.frombuffer(f"-{key}-".encode(), dtype=np.uint8) == ord("-"))
+        return [{"start": int(dashes[end]) - 1 - size, "size": size, "alias_key": name} for end, (name, size) in found]
+
+
+def mentions_by_runs(texts: DataFrame, text_id: str, text: str, names: DataFrame) -> DataFrame:
+    """The same by an equality join on runs of words, as long as some name: no bound on the catalogue, but each run is a row."""
     # One number per length of an alias: bounded by the longest name.
     lengths = names.agg(F.array_sort(F.collect_set(F.size(F.split("alias_key", "-"))))).scalar()
     words = F.split(name_key_column(F.col(text)), "-")
@@ -36,18 +82,22 @@ def mentions(texts: DataFrame, text_id: str, text: str, aliases: DataFrame) -> D
 def longest_mentions(found: DataFrame, text_id: str) -> DataFrame:
     """Mentions that are not strictly inside a longer mention of the same text.
 
-    Each mention lists the shorter spans it covers, a number bounded by the longest name,
-    and covered mentions are removed by an anti join on the span: mentions of one text
-    are never compared pairwise.
+    A mention is covered if one that starts at the same word ends later, or one that starts earlier ends at its end or later:
+    two running maxima over the mentions of a text in order, whatever the lengths.
     """
-    inner = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.col("size") - 1),
-        lambda size: F.transform(
-            F.sequence(F.lit(0), F.col("size") - size),
-            lambda shift: F.struct((F.col("start") + shift).alias("start"), size.alias("size")))))
-    covered = found.filter("size > 1").select(text_id, "start", "size").distinct().select(text_id, F.explode(inner).alias("inner"))
-    spans = covered.select(text_id, "inner.start", "inner.size")
-    return found.join(spans, [text_id, "start", "size"], "left_anti")
+    end = F.col("start") + F.col("size")
+    same, earlier = Window.partitionBy(text_id, "start"), Window.partitionBy(text_id).orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    covered = (F.max(end).over(same) > end) | F.coalesce(F.max(end).over(earlier) >= end, F.lit(False))
+    return found.withColumn("covered", covered).filter("NOT covered").drop("covered")
+
+
+def required_mention(texts: DataFrame, found: DataFrame, text_id: str) -> DataFrame:
+    """(text_id, target, error): the one target of the longest mentions of each text, nothing, or an error that lists several."""
+    per_text = longest_mentions(found, text_id).groupBy(text_id).agg(F.array_sort(F.collect_set(F.col("target").cast("string"))).alias("targets"))
+    several = F.size("targets") > 1
+    return texts.select(text_id).join(per_text, text_id, "left").select(
+        text_id, F.when(F.size("targets") == 1, F.get("targets", F.lit(0))).alias("target"),
+        F.when(several, F.concat(F.lit("several names: "), F.array_join("targets", ", "))).alias("error"))
 
 
 def unique_mention(found: DataFrame, text_id: str) -> DataFrame:

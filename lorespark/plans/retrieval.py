@@ -11,6 +11,7 @@ from lorespark.functions.text import name_key_column
 from lorespark.operators import fusion, lexical, vectors
 from lorespark.operators.ranking import ranked_topk
 from lorespark.operators.sections import SECTION_WINDOW, expand_sections
+from lorespark.session import written
 
 DEFAULT_RESULTS = 5
 RETRY_RESULTS = 8
@@ -28,7 +29,7 @@ def canonical_scope(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def candidates(chunks: DataFrame, questions: DataFrame, n_fused: int) -> tuple[DataFrame, DataFrame]:
     """Fused candidates and structural candidates of scoped and global questions."""
-    index = lexical.lexical_index(chunks, "doc_id", "text", "scope")
+    index = written(lexical.lexical_index(chunks, "doc_id", "text", "scope"))
     corpus = chunks.select("doc_id", "vector", "scope")
     parts = []
     for scoped, own in ((True, questions.filter("scope IS NOT NULL")), (False, questions.filter("scope IS NULL"))):

@@ -50,43 +50,48 @@ def normalize_part_names(spark, sf):
     return table(spark, sf, "part").groupBy(name_key_column(F.col("p_name")).alias("name_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_ALIASES_SQL = f"""aliases AS (SELECT {key_sql("split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)")} AS alias_key, min(item_id) AS target
-    FROM benchmark GROUP BY 1
-    UNION ALL SELECT {key_sql("split_part(text, ' ', 1)")} || '', min(item_id) FROM benchmark GROUP BY 1)"""
+_ALIASES_SQL = f"""names AS (SELECT item_id, {key_sql('text')} AS alias_key FROM benchmark
+    UNION ALL SELECT item_id, {key_sql('s')} FROM (SELECT item_id, unnest(string_split(text, '. ')) AS s FROM benchmark)),
+aliases AS (SELECT alias_key, min(item_id) AS target FROM names WHERE alias_key <> '' GROUP BY 1)"""
 
 
 def _aliases(spark, sf) -> DataFrame:
-    """First word and first two words of each benchmark text, as names of its item."""
-    items = table(spark, sf, "benchmark").select("item_id", F.split("text", " ", -1).alias("words"))
-    one, two = F.get("words", F.lit(0)), F.concat(F.get("words", F.lit(0)), F.lit(" "), F.coalesce(F.get("words", F.lit(1)), F.lit("")))
-    both = items.select("item_id", name_key_column(two).alias("alias_key")).groupBy("alias_key").agg(F.min("item_id").alias("target"))
-    single = items.select("item_id", name_key_column(one).alias("alias_key")).groupBy("alias_key").agg(F.min("item_id").alias("target"))
-    return both.unionByName(single)
+    """Each whole benchmark text and each of its sentences, as names of its item (the first item that has the name)."""
+    items = table(spark, sf, "benchmark")
+    parts = items.select("item_id", F.explode(F.concat(F.array("text"), F.split("text", r"\. ", -1))).alias("name"))
+    return parts.groupBy(name_key_column(F.col("name")).alias("alias_key")).agg(F.min("item_id").alias("target")).filter("alias_key <> ''")
 
 
 @query("mention_lookup_unique", f"""
-WITH {_ALIASES_SQL}, t AS (SELECT conv_id * 1000 + turn AS text_id, '-' || {key_sql('text')} || '-' AS k FROM conversations),
-m AS (SELECT DISTINCT text_id, target, alias_key FROM t JOIN aliases ON contains(k, '-' || alias_key || '-'))
-SELECT text_id, min(target) AS target FROM m GROUP BY text_id HAVING count(*) = 1""")
+WITH {_ALIASES_SQL}, t AS (SELECT doc_id, '-' || {key_sql('text')} || '-' AS k FROM documents),
+m AS (SELECT DISTINCT doc_id, target, alias_key FROM t JOIN aliases ON contains(k, '-' || alias_key || '-'))
+SELECT doc_id, min(target) AS target FROM m GROUP BY doc_id HAVING count(*) = 1""")
 def mention_lookup_unique(spark, sf):
-    texts = wide_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
-    return mentions.unique_mention(mentions.mentions(texts, "text_id", "text", _aliases(spark, sf)), "text_id")
-
-
-@query("longest_mention", f"""
-WITH {_ALIASES_SQL}, w AS (SELECT doc_id, string_split({key_sql('text')}, '-') AS words FROM documents),
-s AS (SELECT doc_id, i - 1 AS start, 1 AS size, words[i] AS alias_key FROM w, unnest(range(1, len(words) + 1)) u(i)
-    UNION ALL SELECT doc_id, i - 1, 2, words[i] || '-' || words[i + 1] FROM w, unnest(range(1, len(words))) u(i)),
-m AS (SELECT DISTINCT s.doc_id, s.start, s.size, a.target FROM s JOIN (SELECT DISTINCT alias_key, target FROM aliases) a USING (alias_key))
-SELECT doc_id, target, count(*) AS mentions, CAST(sum(size) AS BIGINT) AS words FROM m
-WHERE NOT (size = 1 AND EXISTS (SELECT 1 FROM m l WHERE l.doc_id = m.doc_id AND l.size = 2 AND l.start IN (m.start, m.start - 1)))
-GROUP BY doc_id, target""")
+    return mentions.unique_mention(mentions.mentions(documents(spark, sf).select("doc_id", "text"), "doc_id", "text", _aliases(spark, sf)), "doc_id")
+
+
+_MENTIONS_SQL = f"""{_ALIASES_SQL}, w AS (SELECT doc_id, {key_sql('text')} AS k, string_split({key_sql('text')}, '-') AS words FROM documents),
+hit AS (SELECT doc_id, words, alias_key, target, len(string_split(alias_key, '-')) AS size FROM w JOIN aliases ON contains('-' || k || '-', '-' || alias_key || '-')),
+m AS (SELECT doc_id, i - 1 AS start, size, target, alias_key FROM hit, unnest(range(1, len(words) - size + 2)) u(i) WHERE array_to_string(words[i:i + size - 1], '-') = alias_key),
+longest AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m l WHERE l.doc_id = m.doc_id AND l.size > m.size AND l.start <= m.start AND l.start + l.size >= m.start + m.size))"""
+
+
+@query("longest_mention", f"WITH {_MENTIONS_SQL} SELECT doc_id, target, count(*) AS mentions, CAST(sum(size) AS BIGINT) AS words FROM longest GROUP BY doc_id, target")
 def longest_mention(spark, sf):
     found = mentions.mentions(documents(spark, sf).select("doc_id", "text"), "doc_id", "text", _aliases(spark, sf))
     kept = mentions.longest_mentions(found, "doc_id").select("doc_id", "start", "size", "target").distinct()
     return kept.groupBy("doc_id", "target").agg(F.count(F.lit(1)).alias("mentions"), F.sum("size").alias("words"))
 
 
+@query("required_mention", f"""WITH {_MENTIONS_SQL}, t AS (SELECT doc_id, list_sort(list(DISTINCT target::VARCHAR)) AS targets FROM longest GROUP BY doc_id)
+SELECT doc_id, CASE WHEN len(targets) = 1 THEN targets[1] END AS target, CASE WHEN len(targets) > 1 THEN 'several names: ' || array_to_string(targets, ', ') END AS error
+FROM documents LEFT JOIN t USING (doc_id)""")
+def required_mention(spark, sf):
+    """The one item each document names, or an error where it names several."""
+    texts = documents(spark, sf).select("doc_id", "text")
+    return mentions.required_mention(texts, mentions.mentions(texts, "doc_id", "text", _aliases(spark, sf)), "doc_id")
+
+
 # ---- sections and chunks -----------------------------------------------------
 
 
@@ -181,7 +186,7 @@ score AS (SELECT b.item_id, dl.doc_id, dl.lang, round(coalesce(s, 0), 6) AS scor
 SELECT item_id, doc_id, score, bm25_rank FROM (
     SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS bm25_rank FROM score) WHERE bm25_rank <= 200""")
 def bm25_topk(spark, sf):
-    index = lexical.lexical_index(documents(spark, sf), "doc_id", "text")
+    index = written(lexical.lexical_index(documents(spark, sf), "doc_id", "text"))
     found = lexical.bm25_topk(index, table(spark, sf, "benchmark"), query_id="item_id", text="text")
     return found.select(F.col("query_id").alias("item_id"), "doc_id", "score", F.col("bm25_rank").cast("long").alias("bm25_rank"))
 
@@ -191,7 +196,7 @@ SELECT item_id, doc_id, score, bm25_rank FROM (
     SELECT score.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS bm25_rank
     FROM score JOIN sc USING (item_id) WHERE lang = scope) WHERE bm25_rank <= 200""")
 def bm25_scoped_topk(spark, sf):
-    index = lexical.lexical_index(documents(spark, sf), "doc_id", "text", "lang")
+    index = written(lexical.lexical_index(documents(spark, sf), "doc_id", "text", "lang"))
     code = F.col("item_id") % 3
     questions = table(spark, sf, "benchmark").withColumn("scope", F.when(code == 0, "fr").when(code == 1, "de").otherwise("es"))
     found = lexical.bm25_topk(index, questions, query_id="item_id", text="text", scope="scope")
@@ -277,7 +282,7 @@ def rrf_fusion(spark, sf):
     """Centroid queries and the benchmark texts of the same number, fused over document numbers."""
     semantic = vectors.nearest(_embedding_corpus(spark, sf), _centroid_queries(spark, sf))
     asked = table(spark, sf, "embeddings").select(F.col("label").alias("item_id")).distinct()
-    index = lexical.lexical_index(documents(spark, sf), "doc_id", "text")
+    index = written(lexical.lexical_index(documents(spark, sf), "doc_id", "text"))
     texts = table(spark, sf, "benchmark").join(asked, "item_id", "left_semi")
     words = lexical.bm25_topk(index, texts, query_id="item_id", text="text")
     fused = fusion.reciprocal_rank_fusion(semantic, words)
@@ -295,7 +300,7 @@ SELECT count(*) AS cases, round(avg(CASE WHEN hit <= 1 THEN 1.0 ELSE 0.0 END), 6
 def recall_mrr(spark, sf):
     """Benchmark texts held verbatim by documents are the graded cases of the lexical ranking."""
     texts, items = documents(spark, sf), table(spark, sf, "benchmark")
-    index = lexical.lexical_index(texts, "doc_id", "text")
+    index = written(lexical.lexical_index(texts, "doc_id", "text"))
     ranked = lexical.bm25_topk(index, items, query_id="item_id", text="text")
     holders = _holders(texts, items)
     hits = holders.join(ranked.select(F.col("query_id").alias("item_id"), "doc_id", "bm25_rank"), ["item_id", "doc_id"], "left")

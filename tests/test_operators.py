@@ -117,6 +117,29 @@ def test_mentions(spark):
     assert sorted((r.id, r.target) for r in mentions.shortest_prefix_mention(found, "id").collect()) == [(1, "Renard"), (2, "Renard")]
 
 
+def test_mentions_of_both_plans_equal_plain_search(spark):
+    rng = random.Random(6)
+    names = sorted({"-".join(rng.choices("abc", k=rng.randrange(1, 5))) for _ in range(25)})
+    texts = [(n, " ".join(rng.choices(["A", "b", "C!", "é", "ab"], k=rng.randrange(12)))) for n in range(60)] + [(60, None), (61, "")]
+    aliases = spark.createDataFrame([(name, f"T{n % 7}") for n, name in enumerate(names)], "alias_key string, target string")
+    frame = spark.createDataFrame(texts, "id int, x string")
+    found = {bound: sorted(map(tuple, mentions.mentions(frame, "id", "x", aliases, automaton_chars=bound).select("id", "start", "size", "alias_key", "target").collect()))
+             for bound in (10 ** 6, 0)}
+    expected, kept = [], []
+    for n, text in texts:
+        words = (text or "").lower().replace("!", "").replace("é", "e").split()
+        own = [(n, i, len(a.split("-")), a, f"T{k % 7}") for k, a in enumerate(names) for i in range(len(words)) if words[i:i + len(a.split("-"))] == a.split("-")]
+        expected += own
+        kept += [m for m in own if not any(o[1] <= m[1] and o[1] + o[2] >= m[1] + m[2] and o[2] > m[2] for o in own)]
+    assert found[10 ** 6] == found[0] == sorted(expected)
+    table = mentions.mentions(frame, "id", "x", aliases)
+    assert sorted(map(tuple, mentions.longest_mentions(table, "id").select("id", "start", "size", "alias_key", "target").collect())) == sorted(kept)
+    outcome = {r["id"]: (r["target"], r["error"]) for r in mentions.required_mention(frame, table, "id").collect()}
+    for n, _ in texts:
+        targets = sorted({m[4] for m in kept if m[0] == n})
+        assert outcome[n] == ((targets[0], None) if len(targets) == 1 else (None, "several names: " + ", ".join(targets) if targets else None))
+
+
 def test_budget_and_pages(spark):
     df = spark.createDataFrame([("a", n, "x" * n) for n in range(1, 8)], "g string, n int, x string")
     kept = ranking.fit_byte_budget(df, ["g"], [F.asc("n")], F.col("x"), 10)
