@@ -92,3 +92,38 @@ def fit_byte_budget(df: DataFrame, group: list[str], order: list[Column], payloa
     leading = ranked_topk(sized, group, order, budget, "position")
     running = Window.partitionBy(*group).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     return leading.withColumn("used_bytes", F.sum("row_bytes").over(running)).filter(F.col("used_bytes") <= budget)
+
+
+def json_bytes(*columns: str) -> Column:
+    """Bytes of a row as compact JSON, null fields included."""
+    return F.octet_length(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
+
+def fit_lists(
+    rows: DataFrame, group: list[str], name: str, names: list[str], order: list[Column], size: Column, budget: int, overhead: int = 0,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows that are left when several lists of one result share a byte budget, and the outcome of each result.
+
+    While a result is too large, its largest list loses its last row (of equally large lists, the first of ``names``). A list of
+    ``n`` rows is largest at some time only while all longer ones are gone, so rows go in falling order of the size of the list that ends
+    with them: one running sum settles how many. A list that ends beyond the budget by itself always loses its last row, so each list
+    is first cut to the budget, which bounds what a group gathers.
+
+    The outcome (``group``, outcome, kept_rows, used_bytes) is ``whole``, ``truncated`` or ``too large``; in the last case, when
+    nothing is left or the rest alone is too large, no row is kept. ``overhead`` counts the bytes of a result outside its lists.
+    """
+    rank = F.array_position(F.array(*map(F.lit, names)), F.col(name))
+    sums = rows.groupBy(*group).agg(F.countDistinct(name).alias("lists"), F.count(F.lit(1)).alias("all_rows"))
+    # A list takes two brackets, its rows, and a comma before each row but the first.
+    leading = ranked_topk(rows.withColumn("row_bytes", F.greatest(size, F.lit(1))), [*group, name], order, budget, "position")
+    leading = leading.withColumn("row_bytes", F.col("row_bytes") + (F.col("position") > 1).cast("int"))
+    running = Window.partitionBy(*group, name).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    ended = leading.withColumn("list_bytes", F.sum("row_bytes").over(running) + 2).filter(F.col("list_bytes") <= budget)
+    # Rows still there when this one is the next to go: itself and all whose list is smaller.
+    falling = Window.partitionBy(*group).orderBy(F.col("list_bytes"), rank.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    kept = ended.join(sums.select(*group, "lists"), group).withColumn("used_bytes", F.sum("row_bytes").over(falling) + 2 * F.col("lists") + overhead).filter(
+        F.col("used_bytes") <= budget).drop("lists")
+    left = kept.groupBy(*group).agg(F.count(F.lit(1)).alias("kept_rows"), F.max("used_bytes").alias("used_bytes"))
+    outcome = F.when(F.col("kept_rows").isNull(), "too large").when(F.col("kept_rows") == F.col("all_rows"), "whole").otherwise("truncated")
+    outcomes = sums.join(left, group, "left").select(*group, outcome.alias("outcome"), F.coalesce("kept_rows", F.lit(0)).alias("kept_rows"), "used_bytes")
+    return kept.drop("row_bytes", "position", "list_bytes", "used_bytes"), outcomes

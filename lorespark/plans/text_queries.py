@@ -403,6 +403,25 @@ def byte_budget_truncation(spark, sf):
     return kept.select("source", "doc_id", F.col("used_bytes").cast("long").alias("used_bytes"))
 
 
+@query("byte_budget_lists", """
+WITH r AS (SELECT p_brand, p_partkey, ['results', 'moves', 'rows'][1 + p_size % 3] AS name, p_size % 3 AS rank,
+    octet_length(encode(to_json({'p_partkey': p_partkey, 'p_name': p_name, 'p_size': p_size})::VARCHAR)) + (row_number() OVER (PARTITION BY p_brand, p_size % 3 ORDER BY p_partkey) > 1)::INT AS b FROM part),
+l AS (SELECT *, 2 + sum(b) OVER (PARTITION BY p_brand, name ORDER BY p_partkey) AS list_bytes FROM r),
+n AS (SELECT p_brand, count(DISTINCT name) AS lists, count(*) AS all_rows FROM r GROUP BY 1),
+u AS (SELECT l.*, 80 + 2 * lists + sum(b) OVER (PARTITION BY p_brand ORDER BY list_bytes, rank DESC) AS used FROM l JOIN n USING (p_brand)),
+k AS (SELECT p_brand, count(*) AS kept_rows, max(used) AS used_bytes, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS keys FROM u WHERE used <= 3000 GROUP BY 1)
+SELECT p_brand, CASE WHEN kept_rows IS NULL THEN 'too large' WHEN kept_rows = all_rows THEN 'whole' ELSE 'truncated' END AS outcome, coalesce(kept_rows, 0) AS kept_rows,
+    used_bytes::BIGINT AS used_bytes, md5(keys) AS keys_md5 FROM n LEFT JOIN k USING (p_brand)""")
+def byte_budget_lists(spark, sf):
+    """The parts of a brand as three lists of one result of at most 3,000 bytes."""
+    names = ["results", "moves", "rows"]
+    rows = table(spark, sf, "part").select("p_brand", "p_partkey", "p_name", "p_size", F.get(F.array(*map(F.lit, names)), F.col("p_size") % 3).alias("name"))
+    kept, outcomes = ranking.fit_lists(rows, ["p_brand"], "name", names, [F.asc("p_partkey")], ranking.json_bytes("p_partkey", "p_name", "p_size"), 3000, 80)
+    keys = F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: k.cast("string"))
+    digest = kept.groupBy("p_brand").agg(F.md5(F.array_join(keys, ",")).alias("keys_md5"))
+    return outcomes.join(digest, "p_brand", "left").withColumn("used_bytes", F.col("used_bytes").cast("long"))
+
+
 @query("list_fidelity", r"""
 WITH n AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS name FROM part), t AS (
     SELECT conv_id, turn, regexp_split_to_array(text, '[!?;\n]') AS parts, text FROM conversations),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from lorespark.functions.text import fold_text
 from lorespark.operators import vectors
 from lorespark.operators.cleaning import clean_pages, page_header, quality_report, tidy
+from lorespark.sources.jsonl import read_trace_lines
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("national_number", T.IntegerType()), T.StructField("page_id", T.LongType()),
@@ -92,15 +93,8 @@ TRACE_SCHEMA = (
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Traces of a JSONL folder. A broken line, or one of another format, is an error with its text."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line")).filter(F.trim("line") != "")
-    parsed = lines.withColumn("variant", F.try_parse_json("line"))
-    foreign = F.col("variant").isNull() | ~F.trim("line").startswith("{") | (
-        F.try_variant_get("variant", "$.timings", "string").isNull() & F.try_variant_get("variant", "$.total_time", "string").isNull())
-    bad = parsed.filter(foreign).select("line").limit(3).collect()
-    if bad:
-        raise ValueError("invalid trace lines: " + " | ".join(row["line"][:200] for row in bad))
-    return lines.select(F.from_json("line", TRACE_SCHEMA, {"mode": "FAILFAST"}).alias("t")).select("t.*")
+    """Traces of a JSONL folder. A broken line, or one of another format, is an error with its file, number and text."""
+    return read_trace_lines(spark, path, "graph", TRACE_SCHEMA)
 
 
 def append_traces(traces: DataFrame, path: str) -> None:

@@ -1,3 +1,4 @@
+import json
 import random
 import statistics
 
@@ -221,3 +222,30 @@ def test_quality_report(spark):
     assert [r.status for r in report] == ["WARNING", "ERROR", "WARNING"]
     assert report[1].errors[0] == "Titre absent." and any("trop court" in e for e in report[1].errors)
     assert any("Markup résiduel : lien wiki" in w for w in report[2].warnings)
+
+
+def popped(lists, budget, overhead):
+    """Take rows off the largest list until the result fits."""
+    size = lambda rows: len(json.dumps(rows, separators=(",", ":"), ensure_ascii=False).encode())
+    lists = {name: list(rows) for name, rows in lists.items()}
+    while any(lists.values()) and overhead + sum(map(size, lists.values())) > budget:
+        lists[max(lists, key=lambda name: size(lists[name]) if lists[name] else 0)].pop()
+    return lists if any(lists.values()) else None
+
+
+def test_lists_share_a_budget(spark):
+    rng = random.Random(3)
+    names, groups, rows = ["results", "moves", "rows"], {}, []
+    for g in range(40):
+        groups[g] = {name: [{"k": k, "t": "é" * rng.randrange(12)} for k in range(rng.randrange(1, 9))] for name in rng.sample(names, rng.randrange(1, 4))}
+        groups[g] = {name: groups[g][name] for name in names if name in groups[g]}
+        rows += [(g, name, row["k"], row["t"]) for name, own in groups[g].items() for row in own]
+    df = spark.createDataFrame(rows, "g int, name string, k int, t string")
+    for budget in (40, 120, 400):
+        kept, outcomes = ranking.fit_lists(df, ["g"], "name", names, [F.asc("k")], ranking.json_bytes("k", "t"), budget, 10)
+        found = {(r.g, r.name, r.k) for r in kept.collect()}
+        outcome = {r.g: r.outcome for r in outcomes.collect()}
+        for g, lists in groups.items():
+            left = popped(lists, budget, 10)
+            assert {x for x in found if x[0] == g} == {(g, name, row["k"]) for name, own in (left or {}).items() for row in own}
+            assert outcome[g] == ("too large" if left is None else "whole" if left == lists else "truncated")

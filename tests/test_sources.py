@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorespark.operators.traces import step_totals
 from lorespark.plans import build
 from lorespark.plans.catalogue import Catalogue
-from lorespark.sources import documents, tables
+from lorespark.sources import documents, jsonl, tables
 from lorespark.streaming import traces as stream
 
 
@@ -117,3 +117,36 @@ def test_vector_store(spark, tmp_path):
 def test_missing_role_is_an_error(spark):
     with pytest.raises(LookupError):
         Catalogue({})["species"]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    texts = {f"f{n}.jsonl": [f"{n} {k} " + "x" * (k % 60) for k in range(200 * n)] for n in range(1, 4)}
+    for name, lines in texts.items():
+        (folder / name).write_text("﻿" + "\n".join(lines) + "\n", encoding="utf-8")
+    (folder / "empty.jsonl").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = jsonl.numbered_lines(spark, str(folder))
+        assert rows.select("file").rdd.getNumPartitions() >= 1
+        found = {(r["file"].rsplit("/", 1)[1], r["line_number"]): r["line"] for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {(name, k + 1): line for name, lines in texts.items() for k, line in enumerate(lines)}
+
+
+def test_trace_formats_are_told_apart_by_line(spark, tmp_path):
+    web = {"trace_id": "w", "outcome": "answered", "seconds": {"total": 1.5}, "tools": [{"name": "search", "arguments": {"a": 1}}]}
+    good = [json.dumps(web), "", json.dumps({**web, "trace_id": "v"})]
+    (tmp_path / "web").mkdir()
+    (tmp_path / "web" / "a.jsonl").write_text("\n".join(good))
+    found = jsonl.read_web_traces(spark, str(tmp_path / "web")).orderBy("trace_id").collect()
+    assert [(r["trace_id"], r["seconds"]["total"], r["tools"][0]["name"]) for r in found] == [("v", 1.5, "search"), ("w", 1.5, "search")]
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed" / "b.jsonl").write_text("\n".join([*good, json.dumps({"timings": {}}), "{", "3", '{"z": 1}']))
+    kinds = {r["line_number"]: r["kind"] for r in jsonl.trace_lines(spark, str(tmp_path / "mixed")).collect()}
+    assert kinds == {1: "web", 2: "blank", 3: "web", 4: "graph", 5: "malformed", 6: "not an object", 7: "foreign"}
+    with pytest.raises(ValueError, match="b.jsonl line 1: web"):
+        documents.read_traces(spark, str(tmp_path / "mixed"))
