@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorespark.session import scratch_path, table
 from lorespark.sources import jsonl
+from lorespark.streaming.attempts import NUMBERED, run_attempt_numbers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -36,3 +37,30 @@ def trace_line_numbers(spark, sf):
         "folder").text(path)
     found = jsonl.trace_lines(spark, path)
     return found.select(F.regexp_extract("file", r"folder=(\d+)", 1).cast("long").alias("folder"), "line_number", "kind")
+
+
+def _streamed(spark, sf):
+    """Events in two halves, the later one after a restart of the stream."""
+    events = table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("trace"), F.col("event_type").alias("step"))
+    middle = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    root = scratch_path(spark)
+    for half in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+        events.filter(half).write.mode("append").parquet(f"{root}/events")
+        # All files of a half are one batch: inside it events are put in order, whatever file holds them.
+        run_attempt_numbers(spark, f"{root}/events", f"{root}/numbered", f"{root}/checkpoint", "click", "view", files_per_batch=1_000_000)
+    return spark.read.schema(NUMBERED).parquet(f"{root}/numbered")
+
+
+@query("streamed_attempt_numbers", """
+SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt FROM events""")
+def streamed_attempt_numbers(spark, sf):
+    return _streamed(spark, sf).select("event_id", F.col("trace").alias("user_id"), F.col("step").alias("event_type"), "attempt")
+
+
+@query("streamed_call_matches", """
+WITH c AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'click'),
+r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view')
+SELECT user_id, c.event_id AS call_id, r.event_id AS response_id FROM c JOIN r USING (user_id, n)""")
+def streamed_call_matches(spark, sf):
+    """Calls with their responses, first in first out; calls still without one stay in the state of the stream."""
+    return _streamed(spark, sf).filter("call_id IS NOT NULL").select(F.col("trace").alias("user_id"), "call_id", "response_id")
