@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import ahocorasick
 import numpy as np
 import pandas as pd
@@ -68,6 +70,50 @@ class NameSpotter:
         return [{"start": int(dashes[end]) - 1 - size, "size": size, "alias_key": name} for end, (name, size) in found]
 
 
+def verbatim_holders(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str, *, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """(phrase_id, text_id): the texts that hold a phrase character by character; an empty phrase is held by none.
+
+    Phrases are dealt by hash to as many automata as keep each near ``automaton_chars`` characters; every automaton is one pass over the texts.
+    """
+    known = phrases.filter(F.length(phrase) > 0).select(phrase_id, phrase)
+    passes = 1 + (known.agg(F.sum(F.length(phrase))).first()[0] or 0) // automaton_chars
+    parts = []
+    for n in range(passes):
+        rows = known.filter(F.pmod(F.xxhash64(phrase), F.lit(passes)) == n).collect()
+        spotter = PhraseSpotter([(row[phrase], row[phrase_id]) for row in rows])
+        parts.append(texts.select(text_id, F.explode(_held(spotter)(F.col(text))).alias(phrase_id)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _held(spotter: PhraseSpotter):
+    @F.pandas_udf("array<long>")
+    def held(texts: pd.Series) -> pd.Series:
+        return spotter.held_by(texts)
+    return held
+
+
+class PhraseSpotter:
+    """Numbers of the phrases that texts hold; like the names, the automaton is built where it is used."""
+
+    def __init__(self, phrases: list[tuple[str, int]]):
+        self.phrases, self._automaton = phrases, None
+
+    def __getstate__(self):
+        return {"phrases": self.phrases, "_automaton": None}
+
+    def held_by(self, texts: pd.Series) -> pd.Series:
+        if self._automaton is None and self.phrases:
+            numbers: dict[str, list[int]] = {}
+            for phrase, number in self.phrases:
+                numbers.setdefault(phrase, []).append(number)
+            self._automaton = ahocorasick.Automaton()
+            for phrase, own in numbers.items():
+                self._automaton.add_word(phrase, own)
+            self._automaton.make_automaton()
+        found = lambda text: sorted({number for _, own in self._automaton.iter(text) for number in own}) if text and self.phrases else []
+        return texts.map(found)
+
+
 def mentions_by_runs(texts: DataFrame, text_id: str, text: str, names: DataFrame) -> DataFrame:
     """The same by an equality join on runs of words, as long as some name: no bound on the catalogue, but each run is a row."""
     # One number per length of an alias: bounded by the longest name.

@@ -213,9 +213,9 @@ def hybrid_retrieval(spark, sf):
     """The whole pipeline: documents with the vector of their number, benchmark texts as questions."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("vector"))
     slots = vectors.agg(F.max("slot") + 1).scalar()
-    chunks = wide_table(spark, sf, "documents").withColumn("slot", F.col("doc_id") % slots).join(vectors, "slot").select(
+    chunks = wide_table(spark, sf, "documents").withColumn("slot", F.col("doc_id") % slots).join(vectors, "slot", "left").select(
         "doc_id", F.col("lang").alias("scope"), F.col("source").alias("source_file"), F.col("lang").alias("section_path"),
         F.col("doc_id").cast("int").alias("chunk_number"), F.col("doc_id").cast("int").alias("section_chunk_number"), "text", "vector")
-    questions = table(spark, sf, "benchmark").withColumn("slot", F.col("item_id") % slots).join(vectors, "slot").select(
+    questions = table(spark, sf, "benchmark").withColumn("slot", F.col("item_id") % slots).join(vectors, "slot", "left").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.when(F.col("item_id") % 2 == 0, "EN").alias("scope"), "vector")
     return retrieval.retrieve(chunks, questions).select("query_id", "doc_id", "reranker_rank", F.round("reranker_score", 6).alias("score"))

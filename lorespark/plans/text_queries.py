@@ -270,21 +270,22 @@ def vector_export_check(spark, sf):
 
 @query("rrf_fusion", f"""WITH {_BM25_SQL}, bm AS (
     SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM score),
-{_VECTOR_SQL.strip()}, vx AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS r FROM d),
+{_VECTOR_SQL.strip()}, vx AS (SELECT item_id AS query_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score, doc_id) AS r
+    FROM benchmark JOIN d ON d.query_id = item_id % 10),
 f AS (SELECT coalesce(v.query_id, b.item_id) AS query_id, coalesce(v.doc_id, b.doc_id) AS doc_id, v.r AS vr, b.r AS br,
     coalesce(1.0::DOUBLE / (60 + v.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0) AS s
-    FROM (SELECT * FROM vx WHERE r <= 100) v FULL JOIN (SELECT * FROM bm WHERE r <= 200 AND item_id IN (SELECT query_id FROM c_ids)) b
+    FROM (SELECT * FROM vx WHERE r <= 100) v FULL JOIN (SELECT * FROM bm WHERE r <= 200) b
     ON b.item_id = v.query_id AND b.doc_id = v.doc_id)
 SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, vr AS vector_rank, br AS bm25_rank, round(s, 9) AS rrf_score, rrf_rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vr NULLS LAST, br NULLS LAST) AS rrf_rank FROM f) WHERE rrf_rank <= 30""".replace(
-        "WITH ", "WITH c_ids AS (SELECT DISTINCT label AS query_id FROM embeddings), ", 1))
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vr NULLS LAST, br NULLS LAST) AS rrf_rank FROM f) WHERE rrf_rank <= 30""")
 def rrf_fusion(spark, sf):
-    """Centroid queries and the benchmark texts of the same number, fused over document numbers."""
-    semantic = vectors.nearest(_embedding_corpus(spark, sf), _centroid_queries(spark, sf))
-    asked = table(spark, sf, "embeddings").select(F.col("label").alias("item_id")).distinct()
+    """Every benchmark text, with the centroid of one of the ten labels as its vector, fused over document numbers."""
+    items = table(spark, sf, "benchmark")
+    vector = _centroid_queries(spark, sf).select(F.col("query_id").alias("label"), "vector")
+    asked = items.withColumn("label", F.col("item_id") % 10).join(vector, "label").select(F.col("item_id").alias("query_id"), "vector")
+    semantic = vectors.nearest(_embedding_corpus(spark, sf), asked)
     index = written(lexical.lexical_index(documents(spark, sf), "doc_id", "text"))
-    texts = table(spark, sf, "benchmark").join(asked, "item_id", "left_semi")
-    words = lexical.bm25_topk(index, texts, query_id="item_id", text="text")
+    words = lexical.bm25_topk(index, items, query_id="item_id", text="text")
     fused = fusion.reciprocal_rank_fusion(semantic, words)
     return fused.select(
         "query_id", "doc_id", F.col("vector_rank").cast("long").alias("vector_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"),
@@ -302,31 +303,15 @@ def recall_mrr(spark, sf):
     texts, items = documents(spark, sf), table(spark, sf, "benchmark")
     index = written(lexical.lexical_index(texts, "doc_id", "text"))
     ranked = lexical.bm25_topk(index, items, query_id="item_id", text="text")
-    holders = _holders(texts, items)
+    holders = mentions.verbatim_holders(texts, "doc_id", "text", items, "item_id", "text")
     hits = holders.join(ranked.select(F.col("query_id").alias("item_id"), "doc_id", "bm25_rank"), ["item_id", "doc_id"], "left")
     ranks = hits.groupBy("item_id").agg(F.min("bm25_rank").alias("hit_rank"))
     scores = recall_and_mrr(ranks)
     return scores.select("cases", *[F.round(c, 6).alias(c) for c in scores.columns if c != "cases"])
 
 
-def _holders(texts: DataFrame, items: DataFrame, width: int = 4) -> DataFrame:
-    """(item_id, doc_id): documents that hold an item's text verbatim.
-
-    Both sides meet on the first words of the item, so only documents with that very run
-    of words are searched. Items shorter than the run are their own key.
-    """
-    words = lambda column: F.filter(F.split(column, r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
-    heads = items.select("item_id", F.col("text").alias("item_text"), words(F.col("text")).alias("w")).select(
-        "item_id", "item_text", F.explode(F.array(F.array_join(F.slice("w", 2, width), " "))).alias("run"))
-    runs = texts.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(
-        F.when(F.size("w") >= width, F.sequence(F.lit(1), F.size("w") - width + 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.array_join(F.slice("w", i, width), " ")))).alias("run"))
-    candidates = runs.join(heads, "run").select("item_id", "item_text", "doc_id").distinct()
-    return candidates.join(texts.select("doc_id", "text"), "doc_id").filter(F.contains("text", "item_text")).select("item_id", "doc_id")
-
-
 @query("section_candidates", f"""
-WITH {_LINES_SQL}, p AS (SELECT doc_id, lang, first_line, path || ' ' || split_part(body, ' ', 1) AS section_path FROM paths),
+WITH {_LINES_SQL}, p AS (SELECT doc_id, lang, first_line, path || ' ' || body AS section_path FROM paths),
 pt AS (SELECT DISTINCT lang, section_path FROM p),
 pw AS (SELECT DISTINCT lang, section_path, word FROM (SELECT lang, section_path, unnest(regexp_extract_all(lower(section_path), '{TOKEN_SQL}')) AS word FROM pt)
     WHERE NOT list_contains({STOPWORDS_SQL}, word)),
@@ -340,12 +325,12 @@ c AS (SELECT *, row_number() OVER (PARTITION BY lang, section_path ORDER BY doc_
 r AS (SELECT item_id, doc_id * 1000 + first_line AS chunk, s.section_path, round(score, 6) AS score,
     row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id * 1000 + first_line) AS section_rank
     FROM s JOIN c ON c.lang = s.lang AND c.section_path = s.section_path WHERE k <= 2)
-SELECT item_id, chunk, section_path, score, section_rank FROM r WHERE section_rank <= 12""")
+SELECT item_id, chunk, md5(section_path) AS section_hash, score, section_rank FROM r WHERE section_rank <= 12""")
 def section_candidates(spark, sf):
     rows = _markdown(spark, sf).select("doc_id", "lang", F.explode(sections.markdown_sections(F.col("text"))).alias("s"))
     first_line = F.regexp_extract(F.element_at("s.path", -1), r"(\d+)$", 1).cast("long")
     chunks = rows.select(
-        F.col("lang").alias("scope"), F.concat(F.array_join("s.path", " > "), F.lit(" "), F.get(F.split("s.body", " ", 2), F.lit(0))).alias("section_path"),
+        F.col("lang").alias("scope"), F.concat(F.array_join("s.path", " > "), F.lit(" "), "s.body").alias("section_path"),
         (F.col("doc_id") * 1000 + first_line).alias("chunk_number"), (F.col("doc_id") * 1000 + first_line).alias("doc_id"))
     code = F.col("item_id") % 4
     questions = table(spark, sf, "benchmark").select(
@@ -353,7 +338,7 @@ def section_candidates(spark, sf):
         F.col("text").alias("question"))
     found = fusion.section_candidates(chunks, questions)
     return found.select(
-        F.col("query_id").alias("item_id"), F.col("doc_id").alias("chunk"), "section_path",
+        F.col("query_id").alias("item_id"), F.col("doc_id").alias("chunk"), F.md5("section_path").alias("section_hash"),
         F.round("section_structural_score", 6).alias("score"), F.col("section_rank").cast("long").alias("section_rank"))
 
 

@@ -249,3 +249,13 @@ def test_lists_share_a_budget(spark):
             left = popped(lists, budget, 10)
             assert {x for x in found if x[0] == g} == {(g, name, row["k"]) for name, own in (left or {}).items() for row in own}
             assert outcome[g] == ("too large" if left is None else "whole" if left == lists else "truncated")
+
+
+def test_verbatim_holders_equal_plain_containment(spark):
+    rng = random.Random(8)
+    texts = [(n, "".join(rng.choice("abé ") for _ in range(rng.randrange(25)))) for n in range(80)] + [(80, None)]
+    phrases = [(n, "".join(rng.choice("abé ") for _ in range(rng.randrange(4)))) for n in range(30)] + [(30, "ab"), (31, "ab"), (32, None)]
+    frames = spark.createDataFrame(texts, "id int, x string"), spark.createDataFrame(phrases, "p long, t string")
+    for bound in (1000, 7):
+        found = mentions.verbatim_holders(frames[0], "id", "x", frames[1], "p", "t", automaton_chars=bound).collect()
+        assert sorted((r.p, r.id) for r in found) == sorted((p, n) for p, t in phrases for n, x in texts if t and x and t in x)
