@@ -13,6 +13,7 @@ from lorespark.plans.catalogue import Catalogue
 from lorespark.plans.evolutions import evolution_rules
 from lorespark.plans.sheet import measure_texts, readable_text, sheet_facts
 from lorespark.plans.text_queries import key_sql
+from lorespark.plans.vocabulary import ABILITY_IMMUNITIES
 from lorespark.plans.warehouse import ROLE_SQL, warehouse_catalogue
 from lorespark.session import table, wide_table
 
@@ -76,6 +77,42 @@ def type_matchup_texts(spark, sf):
     return type_matchups(entries, efficacy, nation.select(F.col("n_nationkey").alias("type_id"), F.col("n_name").alias("name")), "entity_id")
 
 
+# Five attacking types that abilities cancel stand for the first nations; entries hold none to three abilities, some blank.
+_NAMED_TYPES = ["Sol", "Eau", "Électrik", "Feu", "Plante"]
+_HELD = [[], ["Lévitation"], ["Lévitation", "Torche"], ["Absorbe-Eau", "Lavabo", "Cran"], ["Herbivore", None, ""], ["Cran"]]
+_HELD_SQL = "[" + ", ".join("[" + ", ".join("NULL" if a is None else f"'{a}'" for a in held) + "]::VARCHAR[]" for held in _HELD) + "]"
+_NAME_SQL = lambda column: "CASE " + column + " " + " ".join(f"WHEN 'NATION_{k}' THEN '{name}'" for k, name in enumerate(_NAMED_TYPES)) + f" ELSE {column} END"
+_ABILITY_SQL = "[" + ", ".join(f"'{ability}/{immune}'" for ability, immune in ABILITY_IMMUNITIES.items()) + "]"
+
+
+@query("type_matchup_abilities", f"""WITH {ROLE_SQL},
+chart AS (SELECT {_NAME_SQL('a.n_name')} AS attacker, a.n_nationkey AS id, t.n_name AS target,
+    CASE (a.n_nationkey * 7 + t.n_nationkey * 3) % 5 WHEN 0 THEN 0 WHEN 1 THEN 50 WHEN 2 THEN 200 ELSE 100 END AS f FROM nation a, nation t),
+m AS (SELECT e.entity_id, c1.attacker, c1.id, (c1.f * coalesce(c2.f, 100)) // 100 AS f, list_filter({_HELD_SQL}[1 + e.entity_id % 6], lambda a: a <> '') AS held
+    FROM entry e JOIN chart c1 ON c1.target = e.type_1_fr LEFT JOIN chart c2 ON c2.target = e.type_2_fr AND c2.attacker = c1.attacker),
+g AS (SELECT *, list_filter(held, lambda a: list_contains({_ABILITY_SQL}, a || '/' || attacker)) AS granting FROM m),
+x AS (SELECT *, CASE f WHEN 400 THEN '×4' WHEN 200 THEN '×2' WHEN 50 THEN '×½' WHEN 25 THEN '×¼' END AS times, array_to_string(granting, ' ou ') AS by_,
+    CASE WHEN f > 100 THEN 'w' WHEN f > 0 THEN 'r' ELSE 'i' END AS plain FROM g WHERE f <> 100 OR len(granting) > 0),
+y AS (SELECT entity_id, id, f, CASE WHEN len(granting) = 0 OR f = 0 THEN plain WHEN len(granting) = len(held) OR f = 100 THEN 'i' ELSE plain END AS c,
+    attacker || CASE WHEN len(granting) = 0 OR f = 0 THEN CASE WHEN f = 0 THEN '' ELSE ' (' || times || ')' END WHEN len(granting) = len(held) THEN ' (talent ' || by_ || ')'
+        WHEN f = 100 THEN ' (seulement s''il a le talent ' || by_ || ')' ELSE ' (' || times || ' ; immunisé seulement s''il a le talent ' || by_ || ')' END AS t FROM x)
+SELECT CAST(entity_id AS BIGINT) AS entity_id, coalesce(string_agg(t, ', ' ORDER BY f DESC, id) FILTER (c = 'w'), 'aucune') AS weaknesses,
+    string_agg(t, ', ' ORDER BY f DESC, id) FILTER (c = 'r') AS resistances, string_agg(t, ', ' ORDER BY f DESC, id) FILTER (c = 'i') AS immunities FROM y GROUP BY entity_id""")
+def type_matchup_abilities(spark, sf):
+    """Type chart with the abilities of each entry."""
+    cat, nation = warehouse_catalogue(spark, sf), table(spark, sf, "nation")
+    renamed = F.create_map(*[F.lit(x) for k, name in enumerate(_NAMED_TYPES) for x in (f"NATION_{k}", name)])
+    name = lambda column: F.coalesce(F.element_at(renamed, F.col(column)), F.col(column))
+    # A chart of all pairs of types; their number is that of the nations.
+    pairs = nation.select(F.col("n_nationkey").alias("damage_type_id")).crossJoin(nation.select(F.col("n_nationkey").alias("target_type_id")))
+    code = (F.col("damage_type_id") * 7 + F.col("target_type_id") * 3) % 5
+    efficacy = pairs.withColumn("damage_factor", F.when(code == 0, 0).when(code == 1, 50).when(code == 2, 200).otherwise(100))
+    held = F.array(*[F.array(*map(F.lit, abilities)).cast("array<string>") for abilities in _HELD])
+    entries = cat["entry"].select(F.col("entity_id").cast("long").alias("entity_id"), name("type_1_fr").alias("type_1"), name("type_2_fr").alias("type_2"),
+                                  F.get(held, (F.col("entity_id") % 6).cast("int")).alias("abilities"))
+    return type_matchups(entries, efficacy, nation.select(F.col("n_nationkey").alias("type_id"), name("n_name").alias("name")), "entity_id")
+
+
 @query("absence_texts", """
 WITH p AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS y FROM orders), y AS (SELECT DISTINCT y FROM p WHERE y <> 1998),
 f AS (SELECT o_custkey, min(y) AS first_year FROM p WHERE y <> 1998 GROUP BY o_custkey),

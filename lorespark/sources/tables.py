@@ -10,7 +10,7 @@ from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,17 +139,58 @@ def sheet_table(rows: DataFrame, sheet: str, header: bool = True) -> DataFrame:
 # ---- layout ------------------------------------------------------------------------
 
 
-def write_catalogue(tables: dict[str, DataFrame], folder: str) -> None:
-    """Parquet tables; the learning fact is range-ordered so that one entity reads few row groups.
+# Columns of the learning fact that must be whole numbers.
+FACT_KEYS = ["pokemon_id", "version_group_id", "move_id", "pokemon_move_method_id", "level"]
+EXPECTED = {"pokemon_moves": {"types": dict.fromkeys(FACT_KEYS, "int"), "required": FACT_KEYS}}
 
-    The range key continues into the game and the method, so an entity with a third of
-    the rows spreads over many files.
+
+def _accepts(wanted: str, found: str) -> bool:
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    return found == wanted or wanted == "int" and found in whole or wanted == "double" and found in whole | {"float", "double"}
+
+
+def type_faults(name: str, df: DataFrame, expected: dict) -> list[str]:
+    """Columns of a table that are absent or of another type than ``expected['types']`` names."""
+    types = dict(df.dtypes)
+    return [f"{name}.{column}: {wanted} expected, {types.get(column, 'no column')} found"
+            for column, wanted in expected.get("types", {}).items() if not _accepts(wanted, types.get(column, ""))]
+
+
+def observed(name: str, df: DataFrame, expected: dict) -> tuple[DataFrame, Observation]:
+    """``df`` with its row count and the nulls of its required columns gathered in the pass that writes it."""
+    seen = Observation(name)
+    nulls = [F.count_if(F.col(column).isNull()).alias(column) for column in expected.get("required", [])]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *nulls), seen
+
+
+def write_catalogue(tables: dict[str, DataFrame], folder: str, expected: dict[str, dict] | None = None) -> dict[str, int]:
+    """Parquet tables, and the number of rows of each. A fault of any table fails the build, naming table, column and count.
+
+    Types are compared before anything is written; nulls in required columns are counted while the table is written, and repeated
+    ``keys`` by one aggregation of the written columns. The learning fact is range-ordered so that one entity reads few row
+    groups; the range key continues into the game and the method, so an entity with a third of the rows spreads over many files.
     """
+    expected = EXPECTED if expected is None else expected
+    faults = [fault for name, df in tables.items() for fault in type_faults(name, df, expected.get(name, {}))]
+    if faults:
+        raise ValueError("; ".join(faults))
+    sizes = {}
     for name, df in tables.items():
+        rules = expected.get(name, {})
         if name == "pokemon_moves":
             keys = ["pokemon_id", "version_group_id", "pokemon_move_method_id", "level", "move_id"]
             df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        df, seen = observed(name, df, rules)  # behind the exchange: what samples its ranges must not count
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        counts = dict(seen.get)
+        sizes[name] = counts.pop("rows")
+        faults += [f"{name}.{column}: {count} of {sizes[name]} rows without a value" for column, count in counts.items() if count]
+        for keys in rules.get("keys", []):
+            doubled = df.sparkSession.read.parquet(f"{folder}/{name}").groupBy(*keys).count().filter("count > 1").count()
+            faults += [f"{name}({', '.join(keys)}): {doubled} repeated keys"] if doubled else []
+    if faults:
+        raise ValueError("; ".join(faults))
+    return sizes
 
 
 def read_catalogue(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:

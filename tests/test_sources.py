@@ -150,3 +150,20 @@ def test_trace_formats_are_told_apart_by_line(spark, tmp_path):
     assert kinds == {1: "web", 2: "blank", 3: "web", 4: "graph", 5: "malformed", 6: "not an object", 7: "foreign"}
     with pytest.raises(ValueError, match="b.jsonl line 1: web"):
         documents.read_traces(spark, str(tmp_path / "mixed"))
+
+
+def test_catalogue_build_checks_types_nulls_and_keys(spark, tmp_path):
+    fact = spark.createDataFrame([(1, 2, 3, 4, 5), (1, 2, 3, 4, None)], "pokemon_id int, version_group_id int, move_id int, pokemon_move_method_id int, level int")
+    names = spark.createDataFrame([(1, "a"), (1, "b")], "id int, name string")
+    folder = str(tmp_path / "cat")
+    with pytest.raises(ValueError, match="pokemon_moves.level: int expected, string found"):
+        tables.write_catalogue({"pokemon_moves": fact.withColumn("level", F.lit("7"))}, folder)
+    with pytest.raises(ValueError, match="pokemon_moves.move_id: int expected, no column found"):
+        tables.write_catalogue({"pokemon_moves": fact.drop("move_id")}, folder)
+    with pytest.raises(ValueError, match="pokemon_moves.level: 1 of 2 rows without a value"):
+        tables.write_catalogue({"pokemon_moves": fact}, folder)
+    with pytest.raises(ValueError, match=r"names\(id\): 1 repeated keys"):
+        tables.write_catalogue({"names": names}, folder, {"names": {"keys": [["id"]]}})
+    assert tables.write_catalogue({"pokemon_moves": fact.filter("level IS NOT NULL"), "names": names}, folder) == {"pokemon_moves": 1, "names": 2}
+    read = tables.read_catalogue(spark, folder, ["pokemon_moves", "names"])
+    assert read["pokemon_moves"].first().level == 5 and read["names"].count() == 2
