@@ -1,11 +1,12 @@
-"""Registered queries of trace files and streams, written from driver tables, with their SQL twins."""
+"""Registered queries of trace files, streams and page ingestion, written from driver tables, with their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorespark.session import scratch_path, table
+from lorespark.session import scratch_path, table, wide_table
 from lorespark.sources import jsonl
+from lorespark.sources.ingestion import ingest_pages
 from lorespark.streaming.attempts import NUMBERED, run_attempt_numbers
 
 QUERIES: dict = {}
@@ -64,3 +65,21 @@ SELECT user_id, c.event_id AS call_id, r.event_id AS response_id FROM c JOIN r U
 def streamed_call_matches(spark, sf):
     """Calls with their responses, first in first out; calls still without one stay in the state of the stream."""
     return _streamed(spark, sf).filter("call_id IS NOT NULL").select(F.col("trace").alias("user_id"), "call_id", "response_id")
+
+
+@query("page_ingestion", """
+SELECT 1 AS run, count(*) AS new, 0::BIGINT AS changed, 0::BIGINT AS unchanged, true AS complete FROM pages UNION ALL
+SELECT 2, 0, 0, count(*), true FROM pages UNION ALL
+SELECT 3, 0, count(*) FILTER (page_id % 10 = 3), count(*) FILTER (page_id % 10 <> 3), true FROM pages""")
+def page_ingestion(spark, sf):
+    """All pages three times: as they are, again, and with every tenth one edited; the store must hold the last state."""
+    pages = wide_table(spark, sf, "pages").select(F.concat(F.lit("Page "), "page_id").alias("title"), F.col("html").alias("content"), "page_id", F.lit(1).alias("revision_id"))
+    edited = pages.withColumn("content", F.when(F.col("page_id") % 10 == 3, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).withColumn("revision_id", F.lit(2))
+    folder, rows = scratch_path(spark), []
+    digest = lambda df: df.select("page_id", F.sha2("content", 256).alias("d"))
+    for run, state in enumerate((pages, pages, edited), 1):
+        done = ingest_pages(state, folder)
+        stored = spark.read.parquet(folder)
+        complete = digest(state).exceptAll(digest(stored)).isEmpty() and digest(stored).exceptAll(digest(state)).isEmpty()
+        rows.append((run, done.new, done.changed, done.unchanged, complete))
+    return spark.createDataFrame(rows, "run int, new long, changed long, unchanged long, complete boolean")

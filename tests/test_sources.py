@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorespark.operators.traces import step_totals
 from lorespark.plans import build
 from lorespark.plans.catalogue import Catalogue
-from lorespark.sources import documents, jsonl, tables
+from lorespark.sources import documents, ingestion, jsonl, tables
 from lorespark.streaming import traces as stream
 
 
@@ -167,3 +167,23 @@ def test_catalogue_build_checks_types_nulls_and_keys(spark, tmp_path):
     assert tables.write_catalogue({"pokemon_moves": fact.filter("level IS NOT NULL"), "names": names}, folder) == {"pokemon_moves": 1, "names": 2}
     read = tables.read_catalogue(spark, folder, ["pokemon_moves", "names"])
     assert read["pokemon_moves"].first().level == 5 and read["names"].count() == 2
+
+
+def test_ingestion_writes_only_what_changed(spark, tmp_path):
+    schema = "title string, content string, revision_id long"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    folder = str(tmp_path / "pages")
+    pages = [(f"Page {n}", f"texte {n}", 1) for n in range(40)]
+    first = ingestion.ingest_pages(frame(pages + [("PAGE 3", "ancien", 0)]), folder, buckets=8)
+    assert (first.new, first.changed, first.unchanged) == (40, 0, 0) and first.partitions <= 8
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "pages").rglob("*.parquet")}
+    assert ingestion.ingest_pages(frame(pages), folder, buckets=8) == ingestion.Ingestion(0, 0, 40, 0)
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "pages").rglob("*.parquet")} == before
+    assert ingestion.ingest_pages(frame([("page 5", "texte neuf", 2)]), folder, buckets=8) == ingestion.Ingestion(0, 1, 0, 1)
+    after = set((tmp_path / "pages").rglob("*.parquet"))
+    assert len({p.parent for p in set(before) - after}) == 1
+    texts = {r["title_key"]: r["content"] for r in spark.read.parquet(folder).collect()}
+    assert len(texts) == 40 and "texte neuf" in texts.values() and "texte 5" not in texts.values() and "ancien" not in texts.values()
+    assert ingestion.ingest_pages(frame([("autre", "x", 1), (None, None, None)]), folder, buckets=8).new >= 1
+    empty = ingestion.ingest_pages(frame([]), str(tmp_path / "none"))
+    assert empty == ingestion.Ingestion(0, 0, 0, 0)
