@@ -75,14 +75,22 @@ def verbatim_holders(texts: DataFrame, text_id: str, text: str, phrases: DataFra
 
     Phrases are dealt by hash to as many automata as keep each near ``automaton_chars`` characters; every automaton is one pass over the texts.
     """
+    parts = [texts.select(text_id, F.explode(_held(spotter)(F.col(text))).alias(phrase_id)) for spotter in _spotters(phrases, phrase_id, phrase, automaton_chars)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def held_counts(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, output: str, *, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """``texts`` with how many of the distinct phrases each text holds, counted inside its row."""
+    numbered = phrases.select(phrase).distinct().withColumn("_number", F.xxhash64(phrase))
+    counts = [F.size(_held(spotter)(F.col(text))) for spotter in _spotters(numbered, "_number", phrase, automaton_chars)]
+    return texts.withColumn(output, reduce(lambda a, b: a + b, counts).cast("long"))
+
+
+def _spotters(phrases: DataFrame, phrase_id: str, phrase: str, automaton_chars: int) -> list[PhraseSpotter]:
     known = phrases.filter(F.length(phrase) > 0).select(phrase_id, phrase)
     passes = 1 + (known.agg(F.sum(F.length(phrase))).first()[0] or 0) // automaton_chars
-    parts = []
-    for n in range(passes):
-        rows = known.filter(F.pmod(F.xxhash64(phrase), F.lit(passes)) == n).collect()
-        spotter = PhraseSpotter([(row[phrase], row[phrase_id]) for row in rows])
-        parts.append(texts.select(text_id, F.explode(_held(spotter)(F.col(text))).alias(phrase_id)))
-    return reduce(DataFrame.unionByName, parts)
+    own = F.pmod(F.xxhash64(phrase), F.lit(passes))
+    return [PhraseSpotter([(row[phrase], row[phrase_id]) for row in known.filter(own == n).collect()]) for n in range(passes)]
 
 
 def _held(spotter: PhraseSpotter):

@@ -413,9 +413,9 @@ WITH n AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS name FROM
 a AS (SELECT conv_id, turn, list_aggregate(list_filter(parts, lambda x: NOT regexp_matches(x, '(?i)\b(?:à\s+tort|exclus?)\b')), 'string_agg', chr(10)) AS kept FROM t)
 SELECT conv_id, turn, count(*) FILTER (contains(replace(lower(coalesce(kept, '')), 'ß', 'ss'), name)) AS affirmed, count(*) AS names FROM a, n GROUP BY ALL""")
 def list_fidelity(spark, sf):
+    """How many of the words of part names each turn affirms, spotted by one automaton."""
     names = table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ", -1)).alias("name")).distinct()
-    listing = names.agg(F.sort_array(F.collect_list("name")).alias("names"))
-    turns = wide_table(spark, sf, "conversations").select("conv_id", "turn", fidelity.affirming_text(F.col("text")).alias("kept"))
-    rows = turns.withColumn("names", listing.scalar())
-    found = F.size(F.filter("names", lambda name: F.contains(F.col("kept"), name)))
-    return rows.select("conv_id", "turn", found.cast("long").alias("affirmed"), F.size("names").cast("long").alias("names"))
+    turns = wide_table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.explode(F.array(fidelity.affirming_text(F.col("text")))).alias("kept"))  # generated: a Python function takes no lambda
+    found = mentions.held_counts(turns, "kept", names, "name", "affirmed")
+    return found.select("conv_id", "turn", "affirmed", F.lit(names.count()).alias("names"))

@@ -12,7 +12,7 @@ SAMPLE = [
     "filtered_search_page", "search_types_exact", "search_superlative_ties", "search_moves_same_row", "search_moves_fixed_game",
     "moves_in_latest_group", "missing_groups_since_first", "fk_orphans_report", "golden_multiset_diff", "trace_percentiles",
     "trace_known_tokens", "bm25_scoped_topk", "vector_topk", "expand_window", "markup_cleaning", "type_matchup_texts", "question_rankings",
-    "vector_index_topk", "required_mention", "byte_budget_lists", "trace_line_numbers", "streamed_attempt_numbers", "streamed_call_matches",
+    "vector_index_topk", "required_mention", "list_fidelity", "byte_budget_lists", "trace_line_numbers", "streamed_attempt_numbers", "streamed_call_matches",
     "clean_nested_statistics", "clean_card_list",
 ]
 

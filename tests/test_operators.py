@@ -259,3 +259,5 @@ def test_verbatim_holders_equal_plain_containment(spark):
     for bound in (1000, 7):
         found = mentions.verbatim_holders(frames[0], "id", "x", frames[1], "p", "t", automaton_chars=bound).collect()
         assert sorted((r.p, r.id) for r in found) == sorted((p, n) for p, t in phrases for n, x in texts if t and x and t in x)
+        counts = {r.id: r.held for r in mentions.held_counts(frames[0], "x", frames[1], "t", "held", automaton_chars=bound).collect()}
+        assert counts == {n: len({t for _, t in phrases if t and x and t in x}) for n, x in texts}
