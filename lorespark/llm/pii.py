@@ -249,7 +249,7 @@ def listed(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Per document: numbers of base spans of each kind, the digest of the base spans, and all spans."""
+    """Per document: numbers of base spans of each kind, the digest of the base spans, all spans, their number, and that of secrets."""
     found = written(searched(docs))
     weights = trained(found)
     bare = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -257,4 +257,5 @@ def personal_data(docs: DataFrame) -> DataFrame:
         F.filter("more", lambda m: probability(m, weights) >= ACCEPTED), lambda m: F.struct(m["kind"], m["start"], m["end"])).cast(bare)
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
-                        listed(F.concat(F.col("base"), added)).alias("spans"))
+                        listed(F.concat(F.col("base"), added)).alias("spans"),
+                        (F.size("base") + F.size(added)).cast("long").alias("n_spans"), F.size(F.filter(added, _of_kind("secret"))).cast("long").alias("n_secret"))

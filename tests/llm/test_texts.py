@@ -46,6 +46,7 @@ def test_base_spans_equal_the_patterns(spark):
         assert rows[k]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(rows[k]["spans"].split(","))
         assert rows[k]["n_card"] == want.count("card")
+        assert rows[k]["n_spans"] == len(list(filter(None, rows[k]["spans"].split(",")))) and rows[k]["n_secret"] == rows[k]["spans"].count("secret:")
 
 
 def test_labelers_agree_on_tokens_and_leave_words_alone(spark):
