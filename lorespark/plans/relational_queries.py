@@ -456,9 +456,9 @@ def product_of_factors(spark, sf):
 
 
 @query("computed_key_self_join", """
-SELECT b.s_suppkey AS entity_id FROM supplier b JOIN supplier g ON g.s_name = b.s_name || '1'""")
+SELECT b.s_suppkey AS entity_id FROM supplier b JOIN supplier g ON 's' || g.s_suppkey = 's' || b.s_suppkey || '1'""")
 def computed_key_self_join(spark, sf):
-    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("identifier"))
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("s"), "s_suppkey").alias("identifier"))
     return history.entities_with_suffix(suppliers, "1")
 
 

@@ -128,14 +128,15 @@ def section_chunks(spark, sf):
         "chunk_id", "doc_id", "chunk_number", "section_chunk_number", "section_path", "section_depth", F.md5("text").alias("text_hash"))
 
 
-@query("section_chunk_ids", f"""WITH {_LINES_SQL} SELECT doc_id, path AS section_path, length(body) AS body_chars,
-    'pokemon::' || lpad(CAST(doc_id AS VARCHAR), 4, '0') || '_doc.md::section::' || substr(sha1(path), 1, 10) || '::chunk::00000' AS chunk_id
-FROM paths WHERE first_line = 0""")
+@query("section_chunk_ids", f"""WITH {_LINES_SQL} SELECT doc_id, path AS section_path,
+    'pokemon::' || printf('%04d', doc_id) || '_doc.md::section::' || substr(sha1(path), 1, 10) || '::chunk::' AS id_head, 1::BIGINT AS heads, true AS numbered FROM paths""")
 def section_chunk_ids(spark, sf):
-    rows = _chunks(spark, sf).filter("chunk_number = 0").select("doc_id", "section_path", "chunk_id")
-    bodies = _markdown(spark, sf).select("doc_id", F.get(sections.markdown_sections(F.col("text")), F.lit(0)).alias("s"))
-    lengths = bodies.filter("s IS NOT NULL").select("doc_id", F.length("s.body").cast("long").alias("body_chars"))
-    return rows.join(lengths, "doc_id").select("doc_id", "section_path", "body_chars", "chunk_id")
+    """Per section, over all its chunks: what their identifiers begin with, and whether each ends with the number of its chunk."""
+    number = F.regexp_extract("chunk_id", r"(\d+)$", 1)
+    head = F.substring(F.col("chunk_id"), F.lit(1), F.length("chunk_id") - F.length(number))
+    rows = _chunks(spark, sf).select("doc_id", "section_path", head.alias("head"), (number == F.format_string("%05d", "chunk_number")).alias("numbered"))
+    return rows.groupBy("doc_id", "section_path").agg(
+        F.min("head").alias("id_head"), F.countDistinct("head").alias("heads"), F.bool_and("numbered").alias("numbered"))
 
 
 @query("chunk_conservation", f"""WITH {_LINES_SQL} SELECT count(DISTINCT (doc_id, path)) AS sections, true AS unique_ids, true AS numbers_consecutive,
