@@ -1,15 +1,11 @@
-"""Exact top-k of many queries in one pass over a corpus.
+"""Top-k of many queries: the best rows of a block of documents, and the merge of such lists.
 
-Each task scores its own rows against all queries with matrix products and keeps only
-its best ``k`` rows per query, so a (query, document) pair is never a row of the plan.
-The queries are shipped to the tasks only when their number is proven small; the caller
-provides another plan beyond that bound.
+Scores of a block are one matrix; only the best ``k`` rows per query leave it, so a (query, document) pair is never a row
+of the plan for its own sake.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,12 +66,3 @@ def merge_topk(partial: DataFrame, k: int, largest: bool, rank: str) -> DataFram
     sliced = partial.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(MERGE_SALTS)))
     narrowed = ranked_topk(sliced, ["query_id", "slice"], order, k, "slice_rank").drop("slice", "slice_rank")
     return ranked_topk(narrowed, ["query_id"], order, k, rank)
-
-
-def scan(corpus: DataFrame, score_batches: Callable[[Iterator], Iterator], k: int, largest: bool, rank: str) -> DataFrame:
-    return merge_topk(corpus.mapInArrow(score_batches, SCAN_SCHEMA), k, largest, rank)
-
-
-def no_results(corpus: DataFrame, k: int, largest: bool, rank: str) -> DataFrame:
-    """Ranking of an empty query set."""
-    return merge_topk(corpus.sparkSession.createDataFrame([], SCAN_SCHEMA), k, largest, rank)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorespark.operators import traces
 from lorespark.session import scratch_path, table, wide_table
 from lorespark.sources import jsonl
 from lorespark.sources.ingestion import ingest_pages
@@ -83,3 +84,29 @@ def page_ingestion(spark, sf):
         complete = digest(state).exceptAll(digest(stored)).isEmpty() and digest(stored).exceptAll(digest(state)).isEmpty()
         rows.append((run, done.new, done.changed, done.unchanged, complete))
     return spark.createDataFrame(rows, "run int, new long, changed long, unchanged long, complete boolean")
+
+
+@query("trace_usage_distribution", """
+WITH e AS (SELECT event_id, value, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
+u AS (SELECT k * 2 AS p, k AS c, k * 3 AS t, value AS r FROM e WHERE event_id % 9 <> 0 AND event_id % 4 <> 1 AND k > 0 AND value > 0),
+v AS (SELECT 'prompt_tokens' AS metric, p::DOUBLE AS v FROM u UNION ALL SELECT 'completion_tokens', c FROM u UNION ALL SELECT 'total_tokens', t FROM u UNION ALL SELECT 'tokens_per_second', r FROM u)
+SELECT metric, count(*) AS count, round(avg(v), 5) AS mean, round(quantile_cont(v, 0.5), 5) AS median, round(quantile_cont(v, 0.95), 5) AS p95 FROM v GROUP BY metric""")
+def trace_usage_distribution(spark, sf):
+    """Events as model calls: one in nine has no usage, one in four an incomplete one."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    usage = F.struct((k * 2).alias("prompt_tokens"), k.alias("completion_tokens"), (k * 3).alias("total_tokens"),
+                     F.col("value").alias("tokens_per_second"), (F.col("event_id") % 4 != 1).alias("usage_complete"))
+    calls = table(spark, sf, "events").select(F.when(F.col("event_id") % 9 != 0, usage).alias("llm"))
+    rows = traces.usage_distribution(calls, "llm")
+    return rows.select("metric", "count", *[F.round(c, 5).alias(c) for c in ("mean", "median", "p95")])
+
+
+@query("trace_retrieval_medians", """
+WITH e AS (SELECT event_id % 12 AS r, event_id % 5 AS c, value FROM events WHERE event_id % 12 > 0 OR event_id % 3 = 0)
+SELECT 'retrieved_chunks' AS metric, median(r)::DOUBLE AS median FROM e UNION ALL SELECT 'context_chunks', median(c) FROM e UNION ALL SELECT 'context_chars', round(median(floor(value)), 6) FROM e""")
+def trace_retrieval_medians(spark, sf):
+    """Events as traces that retrieved something: some by their count of chunks, some by the time they spent."""
+    event = F.col("event_id")
+    retrieval = F.struct((event % 12).alias("retrieved_chunks"), (event % 5).alias("context_chunks"), F.floor("value").alias("context_chars"))
+    rows = table(spark, sf, "events").select(retrieval.alias("retrieval"), F.create_map(F.lit("retrieval"), F.when(event % 3 == 0, 1.0).otherwise(0.0)).alias("timings"))
+    return traces.retrieval_medians(rows).select("metric", F.round("median", 6).alias("median"))
