@@ -2,7 +2,9 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in the memory of one
 task. Here each group is cut into value ranges, the counts of the ranges tell which
-range holds the wanted rank, and only that range is ranked row by row.
+range holds the wanted rank, and only that range is ranked row by row. The cuts are
+approximate quantiles, which come out differently each time they are computed: they are
+written once, and every step reads the same ones.
 """
 
 from __future__ import annotations
@@ -10,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 512
+from lorespark.functions.text import let
+from lorespark.session import written
+
+RANGES, COARSE = 512, 23
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
@@ -19,7 +24,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     ``ranks`` are columns over ``n``, the number of non-null values of the key, and count
     from 0. Returns (keys, n, rank_name, rank_value).
     """
-    counts = (
+    counts = written(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
@@ -27,8 +32,14 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     # Ranges are cut at quantiles of the distinct values, so outliers and dense places leave them equally long.
     cuts = F.array_distinct(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 4 * RANGES))
     bounds = counts.groupBy(*keys).agg(cuts.alias("cuts"), F.sum("c").alias("n"))
-    cell = F.size(F.filter("cuts", lambda cut: cut < F.col("v")))
-    placed = _join(counts, bounds, keys).withColumn("cell", cell.cast("int")).drop("cuts")
+    # Cuts in groups of ``COARSE``: a value passes the last cuts of the groups, then the cuts of one group.
+    starts = F.sequence(F.lit(1), F.greatest(F.size("cuts"), F.lit(1)), F.lit(COARSE))
+    groups = F.transform(starts, lambda start: F.slice("cuts", start, COARSE))
+    bounds = written(bounds.withColumn("groups", groups).select(
+        *keys, "n", "groups", F.transform("groups", lambda group: F.element_at(group, -1)).alias("ends")))
+    below = lambda values: F.size(F.filter(values, lambda cut: cut < F.col("v")))
+    cell = let(below(F.col("ends")), lambda passed: passed * COARSE + F.coalesce(below(F.get("groups", passed)), F.lit(0)))
+    placed = _join(counts, bounds, keys).withColumn("cell", cell.cast("int")).drop("groups", "ends")
     histogram = placed.groupBy(*keys, "cell").agg(F.sum("c").alias("cell_rows"), F.first("n").alias("n"))
     # One row per range: at most RANGES rows per key reach this window.
     cumulative = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)

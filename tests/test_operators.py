@@ -2,6 +2,7 @@ import json
 import random
 import statistics
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +28,27 @@ def test_exact_percentiles_with_ties_and_tails(spark):
     assert (empty["count"], empty["mean"], empty["p95"]) == (0, 0.0, 0.0)
 
 
+def test_exact_percentiles_whatever_the_cuts(spark, monkeypatch):
+    """Approximate quantiles differ between two computations on a cluster: no step may see other cuts than another."""
+    @F.pandas_udf("array<double>")
+    def some_cuts(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: sorted(random.SystemRandom().sample(list(v), 40)))
+
+    monkeypatch.setattr(distributions.F, "percentile_approx", lambda column, *_: some_cuts.asNondeterministic()(F.collect_list(column)))
+    df = spark.range(4000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7 % 1009).cast("double").alias("v"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        found = {r.k: r for r in distributions.linear_percentiles(df, ["k"], "v", {"m": 0.5, "p": 0.95, "q": 0.7}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    for key in (0, 1):
+        ordered = sorted(n * 7 % 1009 for n in range(key, 4000, 2))
+        for name, fraction in (("m", 0.5), ("p", 0.95), ("q", 0.7)):
+            position = (len(ordered) - 1) * fraction
+            low = int(position)
+            assert found[key][name] == pytest.approx(ordered[low] + (ordered[low + 1] - ordered[low]) * (position - low))
+
+
 def test_usage_totals(spark):
     df = spark.createDataFrame(
         [("t", "llm", "SUCCESS", 2.0, 10, 20, 30), ("t", "llm", "ERROR", 1.0, None, None, None), ("t", "ok", "SUCCESS", 4.0, 1, 8, 9),
