@@ -257,3 +257,18 @@ def test_pipeline_scope_is_strict(spark, store):
     again = asked.withColumn("reason", F.lit("habitat")).withColumn("excluded_section", F.lit("Statistiques > Vitesse"))
     retry = [r for r in retrieval.retry_context(store, again.filter("query_id = 1")).collect()]
     assert retry and {r.section_path for r in retry} == {"Habitat"}
+
+
+def test_section_words_carry_no_text(spark, tmp_path, monkeypatch):
+    """Sections as long as their text meet questions by hashes: no step before the choice writes or shuffles the text with its words."""
+    text = " ".join(f"mot{n}" for n in range(3000))
+    chunks = spark.createDataFrame([("s", f"{k} {text} cible{k % 2}", k, k) for k in range(8)] + [("s", "  ", 9, 9), (None, "cible0", 10, 10)],
+                                   "scope string, section_path string, chunk_number long, doc_id long")
+    questions = spark.createDataFrame([(1, "s", "mot7 cible1"), (2, "s", "le"), (3, "t", "mot7")], "query_id long, scope string, question string")
+    read = []
+    real = fusion.ranked_topk
+    monkeypatch.setattr(fusion, "ranked_topk", lambda df, *rest: read.append(df.columns) or real(df, *rest))
+    rows = fusion.section_candidates(chunks, questions, n_candidates=4).collect()
+    assert [(r.query_id, r.doc_id) for r in sorted(rows, key=lambda r: r.section_rank)] == [(1, 1), (1, 3), (1, 5), (1, 7)]
+    assert all(r.section_path == f"{r.doc_id} {text} cible1" for r in rows)
+    assert read and all("section_path" not in columns for columns in read)
