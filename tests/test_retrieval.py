@@ -272,3 +272,12 @@ def test_section_words_carry_no_text(spark, tmp_path, monkeypatch):
     assert [(r.query_id, r.doc_id) for r in sorted(rows, key=lambda r: r.section_rank)] == [(1, 1), (1, 3), (1, 5), (1, 7)]
     assert all(r.section_path == f"{r.doc_id} {text} cible1" for r in rows)
     assert read and all("section_path" not in columns for columns in read)
+
+
+def test_documents_are_not_gathered_by_scope(spark):
+    documents_ = spark.createDataFrame([(n, f"mot{n % 5} texte", "fr") for n in range(40)], "doc_id long, text string, lang string")
+    index = lexical.lexical_index(documents_, "doc_id", "text", "lang")
+    blocks = lexical.posting_blocks(index, lexical.term_totals(index), range_documents=10)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(scope_key#\d+, \d+\)", plan)
+    assert {row["range"] for row in blocks.collect()} == {0, 1, 2, 3}
