@@ -5,7 +5,8 @@ filtering first would silently move an entity to an older game.
 
 Everything is an aggregation with a map-side partial, never a window over the fact:
 an entity that owns a third of the fact is combined where it lies, and only one row
-per (entity, game) crosses the network.
+per (entity, game) crosses the network. Games are few: they are broadcast, so that no join deals
+the rows to one task per game.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def latest_game(
     the latest game overall, unless ``strict_method`` drops the key.
     """
     flags = {"has_method": method} if method is not None else {}
-    per_game = games_with_data(fact, keys, game, **flags).join(games, game)
+    per_game = games_with_data(fact, keys, game, **flags).join(F.broadcast(games), game)
     rank = F.struct(*[F.col(column) for column in chronology])
     latest = F.max_by(F.col(game), rank)
     if method is not None:
@@ -64,7 +65,7 @@ def matching_in_latest(
     flags = {"hit": predicate}
     if method is not None:
         flags["has_method"] = method
-    per_game = games_with_data(fact, keys, game, **flags).join(games, game)
+    per_game = games_with_data(fact, keys, game, **flags).join(F.broadcast(games), game)
     rank = F.struct(*[F.col(column) for column in chronology])
     outcome = F.struct(F.col(game), F.col("hit"))
     chosen = F.max_by(outcome, rank)
@@ -85,7 +86,7 @@ def matching_in_game(fact: DataFrame, keys: list[str], predicate: Column) -> Dat
 
 def first_game_order(fact: DataFrame, games: DataFrame, keys: list[str], *, game: str = "game_id", order: str = "order") -> DataFrame:
     """Chronological position of the first game of each key."""
-    present = fact.select(*keys, game).distinct().join(games.select(game, order), game)
+    present = fact.select(*keys, game).distinct().join(F.broadcast(games.select(game, order)), game)
     return present.groupBy(*keys).agg(F.min(order).alias("first_order"))
 
 
@@ -100,7 +101,7 @@ def missing_games_since_first(
     listing = games.select(F.struct(F.col(order), F.col(game)).alias("g")).agg(F.array_sort(F.collect_set("g")).alias("listing"))
     per_key = (
         fact.groupBy(*keys, game).agg(F.count(F.lit(1)).alias("fact_rows"))
-        .join(games.select(game, order), game)
+        .join(F.broadcast(games.select(game, order)), game)
         .groupBy(*keys)
         .agg(F.collect_set(game).alias("present"), F.min(order).alias("first_order"))
         .withColumn("listing", listing.scalar())
