@@ -13,7 +13,7 @@ from lorespark.plans import moves
 from lorespark.plans.catalogue import Catalogue
 from lorespark.plans.search import missing_default_forms
 from lorespark.plans.warehouse import ROLE_SQL, catalogue_search, warehouse_catalogue
-from lorespark.session import table
+from lorespark.session import dealt, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -222,7 +222,8 @@ SELECT DISTINCT CAST(entity_id AS BIGINT) AS entity_id, CAST(move_id AS BIGINT)
     CAST(ord AS BIGINT) AS move_order, method, 'year-' || y AS version_group FROM learn""")
 def learning_methods_all_versions(spark, sf):
     cat = warehouse_catalogue(spark, sf)
-    rows = moves.learning_methods(cat, moves.selected_learn(cat, cat["learn"], ["entity_id"], None, True))
+    learn = dealt(cat["learn"], "entity_id", "move_id", "level", "order", "game_id", "method_id")
+    rows = moves.learning_methods(cat, moves.selected_learn(cat, learn, ["entity_id"], None, True))
     return rows.select(
         F.col("entity_id").cast("long").alias("entity_id"), F.col("move_id").cast("long").alias("move_id"),
         F.col("level").cast("long").alias("level"), F.col("move_order").cast("long").alias("move_order"), "method", "version_group")

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lorespark import session
 from lorespark.operators import cleaning, distributions, evaluation, fidelity, integrity, mentions, ranking, traces
 
 
@@ -283,3 +284,10 @@ def test_verbatim_holders_equal_plain_containment(spark):
         assert sorted((r.p, r.id) for r in found) == sorted((p, n) for p, t in phrases for n, x in texts if t and x and t in x)
         counts = {r.id: r.held for r in mentions.held_counts(frames[0], "x", frames[1], "t", "held", automaton_chars=bound).collect()}
         assert counts == {n: len({t for _, t in phrases if t and x and t in x}) for n, x in texts}
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    rows = session.dealt(spark.range(10_000).withColumn("k", F.col("id") % 5000), "k", rows_per_task=500)
+    sizes = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert rows.rdd.getNumPartitions() == 20 and max(r["count"] for r in sizes) < 800
+    assert rows.select("k").distinct().count() == 5000
