@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lorespark.functions.text import name_key_column
+from lorespark.session import tasks_for
 
 AUTOMATON_CHARS = 32_000_000
+TEXTS_PER_TASK = 2000
 HITS = "array<struct<start: int, size: int, alias_key: string>>"
 
 
@@ -133,6 +135,11 @@ def mentions_by_runs(texts: DataFrame, text_id: str, text: str, names: DataFrame
     return grouped.join(names, "alias_key")
 
 
+def dealt_mentions(texts: DataFrame, found: DataFrame, text_id: str) -> DataFrame:
+    """``found`` by text, about ``TEXTS_PER_TASK`` texts to a task: what a task sorts does not grow with the number of texts."""
+    return found.select(text_id, "start", "size", "target").repartition(tasks_for(texts, TEXTS_PER_TASK), text_id)
+
+
 def longest_mentions(found: DataFrame, text_id: str) -> DataFrame:
     """Mentions that are not strictly inside a longer mention of the same text.
 
@@ -147,7 +154,7 @@ def longest_mentions(found: DataFrame, text_id: str) -> DataFrame:
 
 def required_mention(texts: DataFrame, found: DataFrame, text_id: str) -> DataFrame:
     """(text_id, target, error): the one target of the longest mentions of each text, nothing, or an error that lists several."""
-    per_text = longest_mentions(found, text_id).groupBy(text_id).agg(F.array_sort(F.collect_set(F.col("target").cast("string"))).alias("targets"))
+    per_text = longest_mentions(dealt_mentions(texts, found, text_id), text_id).groupBy(text_id).agg(F.array_sort(F.collect_set(F.col("target").cast("string"))).alias("targets"))
     several = F.size("targets") > 1
     return texts.select(text_id).join(per_text, text_id, "left").select(
         text_id, F.when(F.size("targets") == 1, F.get("targets", F.lit(0))).alias("target"),

@@ -78,7 +78,8 @@ longest AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m l WHERE l.doc_id =
 
 @query("longest_mention", f"WITH {_MENTIONS_SQL} SELECT doc_id, target, count(*) AS mentions, CAST(sum(size) AS BIGINT) AS words FROM longest GROUP BY doc_id, target")
 def longest_mention(spark, sf):
-    found = mentions.mentions(documents(spark, sf).select("doc_id", "text"), "doc_id", "text", _aliases(spark, sf))
+    texts = documents(spark, sf).select("doc_id", "text")
+    found = mentions.dealt_mentions(texts, mentions.mentions(texts, "doc_id", "text", _aliases(spark, sf)), "doc_id")
     kept = mentions.longest_mentions(found, "doc_id").select("doc_id", "start", "size", "target").distinct()
     return kept.groupBy("doc_id", "target").agg(F.count(F.lit(1)).alias("mentions"), F.sum("size").alias("words"))
 

@@ -291,3 +291,12 @@ def test_rows_are_dealt_by_their_number(spark):
     sizes = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert rows.rdd.getNumPartitions() == 20 and max(r["count"] for r in sizes) < 800
     assert rows.select("k").distinct().count() == 5000
+
+
+def test_mentions_are_dealt_by_the_number_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(mentions, "TEXTS_PER_TASK", 10)
+    texts = spark.range(200).select(F.col("id"), F.lit("alpha beta gamma").alias("text"))
+    aliases = spark.createDataFrame([("alpha-beta", 1), ("beta", 2), ("gamma", 3)], "alias_key string, target int")
+    found = mentions.dealt_mentions(texts, mentions.mentions(texts, "id", "text", aliases), "id")
+    assert found.rdd.getNumPartitions() == 20
+    assert sorted(r.target for r in mentions.longest_mentions(found, "id").where("id = 7").collect()) == [1, 3]
