@@ -46,7 +46,9 @@ def _streamed(spark, sf):
     events = table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("trace"), F.col("event_type").alias("step"))
     middle = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
     root = scratch_path(spark)
-    for half in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+    # Events without a time come last.
+    early = F.coalesce(F.col("ts") < F.lit(middle), F.lit(False))
+    for half in (early, ~early):
         events.filter(half).write.mode("append").parquet(f"{root}/events")
         # All files of a half are one batch: inside it events are put in order, whatever file holds them.
         run_attempt_numbers(spark, f"{root}/events", f"{root}/numbered", f"{root}/checkpoint", "click", "view", files_per_batch=1_000_000)

@@ -187,3 +187,40 @@ def test_ingestion_writes_only_what_changed(spark, tmp_path):
     assert ingestion.ingest_pages(frame([("autre", "x", 1), (None, None, None)]), folder, buckets=8).new >= 1
     empty = ingestion.ingest_pages(frame([]), str(tmp_path / "none"))
     assert empty == ingestion.Ingestion(0, 0, 0, 0)
+
+
+def test_a_trace_costs_one_read_and_one_write_of_its_state():
+    from pyspark.sql import Row
+    from lorespark.streaming.attempts import AttemptNumbers
+
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return value
+
+    value, processor = Value(), AttemptNumbers("click", "view")
+    processor.init(Handle())
+    batches = [[(3, 9, "view"), (1, 5, "click"), (2, 5, "click"), (4, None, "click")], [(5, 1, "view"), (6, 1, "view"), (7, 2, "other")]]
+    rows = [list(processor.handleInputRows((8,), iter([Row(event_id=i, ts=t, step=s) for i, t, s in batch]), None)) for batch in batches]
+    assert value.calls == 4
+    assert [(r.event_id, r.attempt, r.call_id, r.response_id) for r in rows[0]] == [(1, 1, None, None), (2, 2, None, None), (3, 1, 1, 3), (4, 3, None, None)]
+    assert [(r.event_id, r.attempt, r.call_id, r.response_id) for r in rows[1]] == [(5, 2, 2, 5), (6, 3, 4, 6), (7, 1, None, None)]
+
+
+def test_streamed_events_without_a_time_come_last(spark, tmp_path):
+    from lorespark.plans import trace_queries
+
+    spark.sql("SELECT * FROM VALUES (1L, TIMESTAMP'2024-01-01', 1L, 'click', 1.0D, '{}'), (2L, NULL, 1L, 'click', 1.0D, '{}'), (3L, TIMESTAMP'2024-01-03', 1L, 'click', 1.0D, '{}')"
+              " AS t(event_id, ts, user_id, event_type, value, props)").write.parquet(f"{tmp_path}/events.parquet")
+    rows = trace_queries.QUERIES["streamed_attempt_numbers"](spark, str(tmp_path)).collect()
+    assert sorted((r.event_id, r.attempt) for r in rows) == [(1, 1), (2, 3), (3, 2)]
