@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +13,7 @@ from lorespark.functions.text import let
 CHUNK_SIZE = 900
 CHUNK_OVERLAP = 120
 MINIMUM_BODY = 350
+DOCUMENTS_AT_ONCE = 128
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 SECTION_WINDOW = 8
 CHUNK_ID_PREFIX = "pokemon"
@@ -113,15 +114,23 @@ def _glue(pieces: list[str], size: int, overlap: int) -> list[str]:
     return [chunk for chunk in chunks if chunk]
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def split_bodies(bodies: pd.Series, sizes: pd.Series) -> pd.Series:
-    """Pieces of the long bodies of each document; short bodies arrive as null and stay null."""
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def split_bodies(bodies: pa.Array, sizes: pa.Array) -> pa.Array:
+    """Pieces of the long bodies of each document; short bodies arrive as null and stay null.
+
+    The texts of ``DOCUMENTS_AT_ONCE`` documents at a time are Python strings, not those of the whole batch.
+    """
     def one(texts, limits):
         return [
             None if text is None else split_text(text, int(limit), min(CHUNK_OVERLAP, max(0, int(limit) // 4)))
             for text, limit in zip(texts, limits)
         ]
-    return pd.Series([one(texts, limits) for texts, limits in zip(bodies, sizes)])
+    kind = pa.list_(pa.list_(pa.string()))
+    slices = []
+    for at in range(0, len(bodies), DOCUMENTS_AT_ONCE):
+        texts, limits = (column.slice(at, DOCUMENTS_AT_ONCE).to_pylist() for column in (bodies, sizes))
+        slices.append(pa.array([one(*row) for row in zip(texts, limits)], kind))
+    return pa.concat_arrays(slices) if slices else pa.array([], kind)
 
 
 def context_header(title: Column, path: Column) -> Column:

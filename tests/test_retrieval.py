@@ -281,3 +281,14 @@ def test_documents_are_not_gathered_by_scope(spark):
     plan = blocks._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(scope_key#\d+, \d+\)", plan)
     assert {row["range"] for row in blocks.collect()} == {0, 1, 2, 3}
+
+
+def test_bodies_are_split_a_few_documents_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sections, "DOCUMENTS_AT_ONCE", 3)
+    bodies = pa.array([["a b " * 300, None], [], [None], ["c" * 900]] * 2)
+    sizes = pa.array([[350, 350], [], [350], [400]] * 2)
+    found = sections.split_bodies.func(bodies, sizes).to_pylist()
+    assert found == [[sections.split_text("a b " * 300, 350, 87), None], [], [None], [sections.split_text("c" * 900, 400, 100)]] * 2
+    assert sections.split_bodies.func(bodies.slice(0, 0), sizes.slice(0, 0)).to_pylist() == []
