@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import TOKEN_PATTERN
+from lorespark.functions.text import TOKEN_PATTERN, token_counts_column, tokens_column
 from lorespark.operators import fusion, lexical, sections, vectors
 from lorespark.plans import retrieval
 from lorespark.sources import documents
@@ -274,6 +274,18 @@ def test_section_words_carry_no_text(spark, tmp_path, monkeypatch):
     assert read and all("section_path" not in columns for columns in read)
 
 
+def test_words_are_counted_without_interpreted_lambdas(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "ROWS_COUNTED", 2)
+    texts = ["Feu feu l'eau", None, "", "?! 12", "ÉÉ éé Œuf œuf İl Straße -a", "a\nb\ta " * 50, "\u212a k ΟΔΟΣ"]
+    docs = spark.createDataFrame([(n, text, None if n % 2 else n) for n, text in enumerate(texts)] + [(None, "a", 1)], "n long, text string, s int")
+    index = lexical.lexical_index(docs, "n", "text", "s")
+    assert "lambda" not in index._jdf.queryExecution().executedPlan().toString()
+    tokens = tokens_column(F.coalesce("text", F.lit("")))
+    expected = docs.select("n", F.col("s").cast("string"), token_counts_column(tokens).alias("counts"), F.size(tokens)).collect()
+    assert [(r[0], r[1], sorted(r[2]), r[3]) for r in index.collect()] == [(r[0], r[1], sorted(r[2]), r[3]) for r in expected]
+    assert index.columns == ["doc_id", "scope", "counts", "length"]
+
+
 def test_documents_are_not_gathered_by_scope(spark):
     documents_ = spark.createDataFrame([(n, f"mot{n % 5} texte", "fr") for n in range(40)], "doc_id long, text string, lang string")
     index = lexical.lexical_index(documents_, "doc_id", "text", "lang")
