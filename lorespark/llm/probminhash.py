@@ -18,10 +18,12 @@ is not compared and has no class.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import WordHashes, mix, shingle_hashes, texts, words_of, written
@@ -33,6 +35,7 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 # Buckets up to this size are paired as they are, larger ones by prefixes of their rarest shingles: the links are the same.
 PAIRED_BUCKET = 24
+PARITY_WORDS = 16  # 64-bit words of the parities of a shingle set
 CHUNK = 200_000  # shingles whose arrivals are drawn together
 
 
@@ -142,21 +145,31 @@ def _rarest_first(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
     Shingles are ordered from the rarest to the most frequent one. Sets this similar share a shingle among the first few of
     both, and what follows its places must be long enough for the overlap. In a group of loose copies of one text the
-    rarest shingles are the changed ones, which nobody shares: such copies meet no one, and no pair is lost.
+    rarest shingles are the changed ones, which nobody shares: such copies meet no one, and no pair is lost. A shingle that only
+    one of two sets holds flips one bit of its parities, so sets that differ in more bits than similar sets may differ in
+    shingles do not meet.
     """
+    bits = [f"bits_{k}" for k in range(PARITY_WORDS)]
     items = sets.join(nodes, "node").select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    slot = F.xxhash64("s").bitwiseAND(F.lit(64 * PARITY_WORDS - 1))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
+    flipped = items.select("node", "s", slot.alias("slot")).groupBy("node").agg(*[
+        F.bit_xor(F.when(F.shiftright("slot", 6) == k, bit).otherwise(F.lit(0).cast("long"))).alias(name) for k, name in enumerate(bits)])
     counts = items.groupBy("s").agg(F.count("*").alias("df"))
     ordered = items.join(counts, "s").groupBy("node", "component", "size").agg(
         F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
     prefix = F.slice("o", F.lit(1), (F.col("size") - F.ceil(F.col("size") * similarity) + 1).cast("int"))
-    firsts = written(ordered.select("node", "component", "size", prefix.alias("p"), F.posexplode(prefix).alias("at", "f")).where("f.df > 1").select(
-        "node", "component", "size", "at", "f.s", F.transform(F.slice("p", F.lit(1), F.col("at")), lambda x: x["s"]).alias("before")))
-    left, right = (firsts.select("s", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "component", "size", "at", "before")]) for n in "ab")
+    firsts = ordered.select("node", "component", "size", prefix.alias("p"), F.posexplode(prefix).alias("at", "f")).where("f.df > 1").select(
+        "node", "component", "size", "at", "f.s", F.transform(F.slice("p", F.lit(1), F.col("at")), lambda x: x["s"]).alias("before"))
+    firsts = written(firsts.join(flipped, "node"))
+    left, right = (firsts.select("s", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "component", "size", "at", "before", *bits)]) for n in "ab")
     needed = (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6
     possible = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= needed
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits])
+    alike = apart <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
     # A pair meets once, at its first common shingle.
     first = ~F.arrays_overlap("before_a", "before_b")
-    return left.join(right, "s").where("node_a > node_b AND component_a <> component_b").where(possible & first).select(
+    return left.join(right, "s").where("node_a > node_b AND component_a <> component_b").where(possible & alike & first).select(
         F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 

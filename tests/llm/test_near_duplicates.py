@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lorespark.llm import decontamination, line_dedup, passages, probminhash
 from lorespark.llm.components import components
@@ -62,6 +63,25 @@ def test_near_duplicate_classes_equal_brute_force(spark):
     assert probminhash.without_near_duplicates(docs).count() == len(set(want.values()))
 
 
+def test_loose_copies_that_share_a_rare_shingle_do_not_meet(spark):
+    rng = random.Random(14)
+    base = prose(rng, 120).split()
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(20, 120), 12):
+            words[at] = f"own{rng.randrange(10 ** 6)}"
+        # one word that five copies share makes rare shingles in which copies meet
+        words[10] = f"shared{k // 5}"
+        rows.append((k, k, " ".join(words)))
+    sets = {k: shingles(t) for k, _, t in rows}
+    near = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    frames = spark.createDataFrame([(k, k) for k, _, _ in rows], "node long, component long")
+    docs = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, text string")
+    met = {(r["a"], r["b"]) for r in probminhash._rarest_first(frames, probminhash._shingle_sets(docs, frames), 0.8).collect()}
+    assert near <= met and len(met) <= len(near) + 5
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(awkward(spark)).collect()}
     assert got[3] == got[4] == 3 and got[1] == got[6] == 1 and None not in got
@@ -96,6 +116,20 @@ def test_line_links_equal_brute_force(spark):
         line_dedup.SAMPLED, line_dedup.HOT_IN_SAMPLE = sampled, hot
 
 
+def test_lines_of_unlike_letters_do_not_meet(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 6) for _ in range(150)]
+    texts += [changed(rng, t, rng.randrange(3), "adho é") for t in texts[:150]]
+    rows = [(k, t, k // 150) for k, t in enumerate(texts)]
+    counted = {r["k"]: r["c"] for r in spark.createDataFrame(rows, "k int, t string, side int").select(
+        "k", line_dedup.letter_counts(F.col("t")).alias("c")).collect()}
+    apart = {(a, b): bin((counted[a] ^ counted[b]) & 0xFFFFFFFF).count("1") for a in range(150) for b in range(150, 300)}
+    assert all(apart[a, a + 150] <= 4 for a in range(150))
+    entries = spark.createDataFrame([(1, k, counted[k]) for k in range(150)], "key long, h long, letters int")
+    met = line_dedup._joined(entries, entries, 2).distinct().count()
+    assert met < 150 * 149 / 2 / 5
+
+
 def test_lines_dropped_and_texts_left(spark):
     docs = frame(spark, ["first line of some length\nshort\nshort", "another line of some length\nfirst line of some lengtH\nshort",
                          "first line of some length", None, ""])
