@@ -287,3 +287,69 @@ def test_report_of_short_lines(spark):
     ids = {x["class_id"] for r in rows.values() for x in r["class_lines"] if not x["short"]}
     short = {x["class_id"] for r in rows.values() for x in r["class_lines"] if x["short"]}
     assert len(ids) == len(short) == 1 and ids != short
+
+
+def _plain_passages(texts):
+    """All links of all pairs of whole texts, merged, without windows, segments or blocks."""
+    words = [passages.WordHashes().of(passages.words_of(t)) >> np.uint64(32) for t in texts]
+    spans = {k: [] for k in range(len(texts))}
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        for from_a, to_a, from_b, to_b in passages.near_passages(words[a], words[b], passages.LEAST_WORDS, passages.SIMILARITY):
+            spans[a].append((from_a, to_a, b))
+            spans[b].append((from_b, to_b, a))
+    merged = set()
+    for doc_id, found in spans.items():
+        island = None
+        for start, end, other in sorted(found):
+            if island and start <= island[2]:
+                island = (doc_id, island[1], max(island[2], end), island[3] + 1, min(island[4], other))
+                continue
+            merged |= {island} if island else set()
+            island = (doc_id, start, end, 1, min(doc_id, other))
+        merged |= {island} if island else set()
+    return merged
+
+
+def test_all_members_of_a_large_key_are_linked(spark):
+    rng = random.Random(11)
+    base, texts = prose(rng, 90).split(), []
+    for at in range(30):  # more copies than a small key has windows; each with words of its own around
+        body = list(base)
+        if at % 3 == 0:
+            body[rng.randrange(90)] = f"own{at}"
+        texts.append(" ".join([prose(rng, 30), *body, prose(rng, 30)]))
+    tail = prose(rng, 60)
+    texts += [f"{prose(rng, 40)} {' '.join(base)} x{at} {tail}" for at in range(3)]  # what only these share lies beside the large key
+    texts += [" ".join(base + base) + " " + prose(rng, 20), prose(rng, 100)]  # twice in one text
+    texts += [("again and " * 40).strip(), prose(rng, 20) + " " + ("again and " * 35).strip()]
+    want = _plain_passages(texts)
+    sizes = passages.BLOCK_SEGMENTS
+    try:
+        for passages.BLOCK_SEGMENTS in (sizes, 5):  # the component at once, then by pairs of blocks
+            got = {(r["doc_id"], r["start_word"], r["end_word"], r["n_links"], r["first_doc_id"])
+                   for r in passages.repeated_passages(frame(spark, texts)).collect()}
+            assert got == want
+    finally:
+        passages.BLOCK_SEGMENTS = sizes
+
+
+def test_a_segment_against_many_equals_pairs_alone():
+    rng = np.random.RandomState(5)
+    for words in (2 ** 31, 40, 4):
+        base, texts = rng.randint(1, words, 200), []
+        for _ in range(7):
+            text = base[rng.randint(0, 60):rng.randint(120, 200)].copy()
+            text[rng.randint(0, len(text), 5)] = rng.randint(1, 2 ** 31, 5)
+            text = np.insert(text, rng.randint(len(text)), rng.randint(1, 2 ** 31, rng.randint(0, 9)))
+            texts.append(np.tile(text[:rng.randint(1, 20)], 12) if rng.rand() < 0.3 else text)
+        texts = [t.astype(np.uint32) for t in texts if len(t) >= 20]
+        held, passages.HITS_AT_ONCE = passages.HITS_AT_ONCE, 300
+        try:
+            segments = passages._Segments(texts)
+            for a in range(len(texts)):
+                others = np.array([b for b in range(len(texts)) if b != a])
+                got = np.concatenate([np.zeros((0, 5), dtype=np.int64), *segments.passages(a, others, 20, 0.8)])
+                want = [(b, *p) for b in others for p in passages.near_passages(segments.words[a], segments.words[b], 20, 0.8)]
+                assert sorted(map(tuple, got.tolist())) == sorted(want)
+        finally:
+            passages.HITS_AT_ONCE = held
